@@ -154,9 +154,10 @@ class Tab:
         return True
 
     def reload(self) -> None:
-        old = self.lines
+        with open(self.path, "rb"):  # a file that is gone leaves the tab as it was
+            pass
+        self.lines.unpersist()  # else the same plan would be answered from the old contents
         self._load()
-        old.unpersist()
         self.selected_line = None
         self.poll(force=True)
 
