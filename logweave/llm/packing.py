@@ -52,7 +52,7 @@ class Encoder:
         self.plain = regex.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+").fullmatch
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.byte_text = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(33, 127), *range(0xC0, 0x100)])}
-        self.pieces: dict[bytes, np.ndarray] = {}
+        self.pieces: dict[bytes, bytes] = {}
         self.parts: dict[str, list[int]] = {}
 
     def _part(self, part: str) -> list[int]:
@@ -64,13 +64,13 @@ class Encoder:
             self.parts[part] = ids
         return ids
 
-    def _piece(self, piece: bytes) -> np.ndarray:
+    def _piece(self, piece: bytes) -> bytes:
         text = piece.decode()
         if self.plain(text):
             ids = [i for part in self.split(text.lower()) for i in self._part(part)]
         else:
             ids = self.whole.encode(text, add_special_tokens=False).ids
-        return np.array(ids, np.uint16)
+        return np.array(ids, np.uint16).tobytes()
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin; one more at the end)."""
@@ -85,8 +85,8 @@ class Encoder:
             own.append(ids)
         if not own:
             return np.zeros(0, np.uint16), np.zeros(len(column) + 1, np.int64)
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        flat, starts = np.concatenate(own), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 2
+        flat, starts = np.frombuffer(b"".join(own), np.uint16), np.concatenate(([0], np.cumsum(sizes)[:-1]))
         n = sizes[words.index]
         before = np.concatenate(([0], np.cumsum(n)))
         take = np.repeat(starts[words.index] - before[:-1], n) + np.arange(before[-1])
