@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.words import ALNUM_LOWER, slices, split_words, text_bytes
+from logweave.llm.words import ALNUM_LOWER, map_batches, slices, split_words, text_bytes
 
 WINDOW = 10
 #: Words of items in one automaton: it is sent to every task, so a larger benchmark becomes several passes.
@@ -151,7 +151,7 @@ def _pass(docs: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
                     ["doc_id", "text", "n_words", "spans", "items", "longest"],
                 )
 
-    return docs.mapInArrow(run, _FOUND)
+    return map_batches(docs, run, _FOUND)
 
 
 def _hits(spans: list[int]) -> list[tuple[int, int]]:
@@ -209,6 +209,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "spans", "clean_text"],
             )
 
-    return found.mapInArrow(
-        finish, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest bigint, spans array<struct<start:bigint,end:bigint>>, clean_text string"
+    return map_batches(
+        found, finish, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest bigint, spans array<struct<start:bigint,end:bigint>>, clean_text string"
     )

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from logweave.llm.words import SPACE, slices, split_words
+from logweave.llm.words import SPACE, map_batches, slices, split_words
 from logweave.plans.materialize import materialize
 
 SEQUENCE, WINDOW_SEQUENCES, END_ID = 4096, 16, 2
@@ -121,7 +121,7 @@ def _tokenize(docs: DataFrame, path: str, queues: dict[str, int] | None) -> Data
                     ["doc_id", "queue", "part", "begin", "n", "ids"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, queue int, part int, begin bigint, n bigint, ids binary")
+    return map_batches(docs, run, "doc_id bigint, queue int, part int, begin bigint, n bigint, ids binary")
 
 
 class Mixture:
@@ -183,4 +183,4 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, win
                     start += size
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 7)], names)
 
-    return placed.mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return map_batches(placed, run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")

@@ -7,13 +7,16 @@ word and slice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch on its way to or from a Python worker, unless the session sets its own; a longer row is a batch by itself.
+BATCH_BYTES, BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -87,3 +90,19 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded bytes, so that executors hold a few MB of a task's rows outside the heap.
+
+    Workers are reused by later stages; at the end of a task a worker returns the Arrow memory that it no longer uses.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, None) is None:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
