@@ -1,52 +1,172 @@
-"""Substring dedup: near-equal paragraphs across and within documents, removed but for one of each cluster."""
+"""Substring dedup: near-equal passages across and within documents, wherever they stand in a line, removed but for one of each cluster."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.near_dup import near_duplicates
+from logweave.llm.near_dup import link
+from logweave.llm.shingles import band_keys, shingle_hashes, signatures_of_rows
+from logweave.llm.words import SPACE_LOWER, map_batches, slices, split_words
 from logweave.plans.materialize import materialize
 
-#: Paragraphs below this many words are left alone; a pair at the similarity of 0.8 is missed by 8 bands of 2 with probability 2.8e-4.
-LEAST_WORDS, BANDS, ROWS = 20, 8, 2
-#: A paragraph's number takes the low bits of its id.
-NUMBER_BITS = 24
+SHINGLE, PERCENT = 5, 80
+#: Words of a paragraph, and starts among which the one with the least shingle hash is taken: 25 + 26 - 1 = 50, so that two
+#: texts with 50 equal words in a row take at least one equal paragraph from them.
+WORDS, STARTS = 25, 26
+#: One pair of paragraphs at the threshold collides with probability 0.94; a passage of 100 words has about six paragraphs.
+BANDS, ROWS = 4, 3
+#: A paragraph's first word number takes the low bits of its id.
+NUMBER_BITS = 28
+#: Text that is hashed at a time; the arrays beside it take some sixty times as much.
+SLICE_BYTES = 1 << 20
+_NONE = np.uint64(2**64 - 1)
 
 
-def paragraphs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``(id, text)`` of the lines with enough words; id = doc_id * 2^24 + line number, so ids sort by document and place.
+def chosen(shingles: np.ndarray, words: int = WORDS, starts: int = STARTS) -> np.ndarray:
+    """First words of the paragraphs of one text, from the hashes of its shingles in order.
 
-    A doc_id outside 0 to 2^39 - 1 is an error. Null ids and texts have no paragraphs.
+    Of every ``starts`` places in a row the first with the least hash is taken, so the choice within a passage depends on the
+    passage alone. In a run of one repeated shingle only the first place counts.
     """
+    places = len(shingles) + SHINGLE - words
+    if places < 1:
+        return np.zeros(0, np.int64)
+    v = shingles[:places].copy()
+    v[1:][shingles[1:places] == shingles[: places - 1]] = _NONE
+    if places <= starts:
+        at = np.array([v.argmin()])
+    else:
+        at = np.unique(np.lib.stride_tricks.sliding_window_view(v, starts).argmin(axis=1) + np.arange(places - starts + 1))
+    return at[v[at] != _NONE]
+
+
+def _checked_id() -> F.Column:
     key = F.col("doc_id").cast("bigint")
-    key = F.when((key >= 0) & (key < (1 << 39)), key).otherwise(F.raise_error(F.lit("doc_id out of range")).cast("bigint"))
-    lines = docs.where("doc_id is not null and text is not null").select(F.shiftleft(key, NUMBER_BITS).alias("base"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    enough = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= least_words
-    return lines.where(enough).select((F.col("base") + F.col("pos")).alias("id"), "text")
+    return F.when((key >= 0) & (key < (1 << (63 - NUMBER_BITS))), key).otherwise(F.raise_error(F.lit("doc_id out of range")).cast("bigint"))
+
+
+def paragraphs(docs: DataFrame, banded: bool = True) -> DataFrame:
+    """``(id, k1, k2[, n, b0 ..])`` of the paragraphs: id = doc_id * 2^28 + number of the first word, k1 and k2 a key of the
+    set of five-word shingles, n the set's size, b0 .. its band keys. Ids sort by document and place.
+
+    A paragraph is 25 words in a row, over line ends. A doc_id outside 0 to 2^35 - 1 is an error. Null ids and texts, and texts
+    below 25 words, have no paragraphs.
+    """
+    names = ["id", "k1", "k2"] + (["n", *(f"b{i}" for i in range(BANDS))] if banded else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                words = split_words(part.column("text"), SPACE_LOWER)
+                hashed = shingle_hashes(words, SHINGLE)
+                ids, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for key, a, b in zip(part.column("doc_id").to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+                    if b - a >= WORDS:
+                        at = chosen(hashed[a : b - SHINGLE + 1])
+                        ids.append((key << NUMBER_BITS) + at)
+                        rows.append(a + at)
+                ids, rows = np.concatenate(ids), np.concatenate(rows)
+                if not len(ids):
+                    continue
+                sets = np.sort(hashed[rows[:, None] + np.arange(WORDS - SHINGLE + 1)], axis=1)
+                new = np.ones(sets.shape, bool)
+                new[:, 1:] = sets[:, 1:] != sets[:, :-1]
+                sizes = new.sum(axis=1)
+                keys = b"".join(xxhash.xxh3_128_digest(s.tobytes() if k == len(s) else s[m].tobytes()) for s, m, k in zip(sets, new, sizes.tolist(), strict=True))
+                out = [ids, *np.frombuffer(keys, np.int64).reshape(-1, 2).T]
+                if banded:
+                    out += [sizes, *band_keys(signatures_of_rows(sets, BANDS * ROWS // 2), BANDS, ROWS).T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), pa.int64()) for x in out], names)
+
+    rows = docs.where("doc_id is not null and text is not null").select(_checked_id().alias("doc_id"), "text")
+    return map_batches(rows, run, ", ".join(f"{c} bigint" for c in names))
+
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, text)`` of the paragraphs with these ids."""
+    at = F.col("id").bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))
+    wanted = materialize(ids.distinct().groupBy(F.shiftright("id", NUMBER_BITS).alias("key")).agg(F.collect_list(at).alias("at")))
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("key"), "text").join(wanted, "key").select("key", "at", "text")
 
-def repeated_paragraphs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per paragraph that has a near-equal one: doc_id, paragraph (line number from 0), keep_doc_id, keep_paragraph, kept.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                words = split_words(part.column("text"), SPACE_LOWER)
+                ids, texts = [], []
+                for i, (key, places) in enumerate(zip(part.column("key").to_pylist(), part.column("at").to_pylist(), strict=True)):
+                    own = words.of(i)
+                    for p in places:
+                        if p + WORDS <= len(own):
+                            ids.append((key << NUMBER_BITS) + p)
+                            texts.append(b" ".join([words.distinct[w] for w in own[p : p + WORDS].tolist()]).decode())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
 
-    Paragraphs are lines of at least ``least_words`` words; two are linked when their sets of five-word shingles are at least
-    0.8 similar, and the first paragraph (by doc_id, then line) of each connected component stays. Rows that repeat a document
-    count as one. Lines without a twin give no row.
+    return materialize(map_batches(rows, run, "id bigint, text string").dropDuplicates(["id"]))
+
+
+def _apart(u: int, v: int) -> bool:
+    """Whether two paragraphs share no word of one text."""
+    return u >> NUMBER_BITS != v >> NUMBER_BITS or abs(u - v) >= WORDS
+
+
+def repeated_paragraphs(docs: DataFrame) -> DataFrame:
+    """One row per paragraph that has a near-equal one: doc_id, first_word (its number from 0), n_words, keep_doc_id, keep_first_word, kept.
+
+    Two paragraphs are linked when their sets of five-word shingles are at least 0.8 similar; the first one (by doc_id, then
+    place) of each connected component stays, and so do those that overlap it. Paragraphs that overlap are not linked. Every passage of 50 or more words that stands twice gives rows for both places,
+    and most shorter ones of over 25 words do. Paragraphs with equal sets form a class, and one of each class goes into the
+    banding. Rows that repeat a document count as one. Texts without a repeated paragraph, null and empty ones give no row.
     """
-    found = near_duplicates(paragraphs(docs, least_words), shingle=5, percent=80, bands=BANDS, rows=ROWS)
-    found = materialize(found.select("id", F.col("component_id").alias("c")).distinct())
-    many = materialize(found.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"))
-    low = (1 << NUMBER_BITS) - 1
+    key = ["k1", "k2"]
+    classes = paragraphs(docs).groupBy(*key).agg(*(F.min(c).alias(c) for c in ["id", "n", *(f"b{i}" for i in range(BANDS))]), F.max("id").alias("last"))
+    classes = materialize(classes)
+    first = classes.select("id", "n", F.array(*(f"b{i}" for i in range(BANDS))).alias("bands"))
+    _, labels = link(first, lambda ids: _texts(docs, ids), SHINGLE, PERCENT, BANDS, ROWS, _apart)
+    labels = materialize(labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct()))
+    marked = classes.join(labels, classes["id"] == labels["node"], "left").where("id < last or node is not null")
+    marked = materialize(marked.select(*key, F.coalesce("component", "id").alias("c")))
+    found = materialize(paragraphs(docs, banded=False).join(marked, key).select("id", "c")).distinct()
     doc = lambda c: F.shiftright(c, NUMBER_BITS)
-    line = lambda c: F.col(c).bitwiseAND(F.lit(low)).cast("int")
-    return found.join(many, "c").select(
-        doc("id").alias("doc_id"), line("id").alias("paragraph"), doc("c").alias("keep_doc_id"), line("c").alias("keep_paragraph"), (F.col("id") == F.col("c")).alias("kept")
+    word = lambda c: F.col(c).bitwiseAND(F.lit((1 << NUMBER_BITS) - 1)).cast("int")
+    return found.select(
+        doc("id").alias("doc_id"), word("id").alias("first_word"), F.lit(WORDS).alias("n_words"), doc("c").alias("keep_doc_id"), word("c").alias("keep_first_word"), (F.col("id") < F.col("c") + WORDS).alias("kept")
     )
 
 
-def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id and text of ``docs`` less the paragraphs that do not stay; null texts stay null."""
-    drop = repeated_paragraphs(docs, least_words).where("not kept").groupBy("doc_id").agg(F.collect_set("paragraph").alias("drop"))
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("drop", i))
-    return docs.select("doc_id", "text").join(drop, "doc_id", "left").select("doc_id", F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text of ``docs`` less the words of paragraphs that do not stay, but for words of one that stays; null texts stay null."""
+    places = repeated_paragraphs(docs).groupBy("doc_id").agg(*(F.collect_list(F.when(F.col("kept") == stays, F.col("first_word"))).alias(c) for c, stays in (("stay", True), ("go", False))))
+    places = materialize(places.select(F.col("doc_id").alias("key"), "stay", "go"))
+    rows = docs.select("doc_id", "text").join(places, docs["doc_id"].cast("bigint") == places["key"], "left").drop("key")
+
+    def cut(text: str, stay: list[int], go: list[int]) -> str:
+        data = text.encode()
+        spans = [m.span() for m in _WORD.finditer(data)]
+        gone = np.zeros(len(spans) + 1, bool)
+        for p in go:
+            gone[p : p + WORDS] = True
+        for p in stay:
+            gone[p : p + WORDS] = False
+        out, at = [], 0
+        edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0))
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            out.append(data[at : spans[a][0]])
+            at = spans[b - 1][1]
+        return b"".join([*out, data[at:]]).decode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [cut(*x) if x[2] and x[0] is not None else x[0] for x in zip(*(batch.column(c).to_pylist() for c in ("text", "stay", "go")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return map_batches(rows, run, rows.select("doc_id", "text").schema)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from logweave.llm.words import SPACE_LOWER, Alphabet, split_words
+from logweave.llm.words import SPACE_LOWER, Alphabet, Words, split_words
 
 _RANDOM = np.random.default_rng(20240607)
 #: Odd multipliers: one for each word of a shingle (cycled beyond), then pairs for the hash functions.
@@ -27,16 +27,30 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def _hashed(words: Words) -> np.ndarray:
+    return word_hashes(words.distinct)[words.index] if len(words.index) else np.zeros(0, np.uint64)
+
+
+def _runs(hashed: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` words in a row, over text ends too."""
+    if len(hashed) < size:
+        return np.zeros(0, np.uint64)
+    whole = hashed[: len(hashed) - size + 1] * _WORD_FACTORS[0]
+    for j in range(1, size):
+        whole += hashed[j : len(hashed) - size + 1 + j] * _WORD_FACTORS[j % 64]
+    return mix(whole)
+
+
+def shingle_hashes(words: Words, size: int) -> np.ndarray:
+    """Hashes of the shingles of all texts, one text after the other; text i has those from words.first[i] to words.first[i + 1] - size."""
+    return _runs(_hashed(words), size)
+
+
 def shingle_sets(column: pa.Array, size: int, letters: Alphabet = SPACE_LOWER) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles; a text of fewer words, but not none, is one shingle."""
     words = split_words(column, letters)
-    hashed = word_hashes(words.distinct)[words.index] if len(words.index) else np.zeros(0, np.uint64)
-    whole = np.zeros(0, np.uint64)
-    if len(hashed) >= size:
-        whole = hashed[: len(hashed) - size + 1] * _WORD_FACTORS[0]
-        for j in range(1, size):
-            whole += hashed[j : len(hashed) - size + 1 + j] * _WORD_FACTORS[j % 64]
-        whole = mix(whole)
+    hashed = _hashed(words)
+    whole = _runs(hashed, size)
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         if b - a >= size:
@@ -66,6 +80,16 @@ def signatures(sets: list[np.ndarray], permutations: int) -> np.ndarray:
     return out
 
 
+def signatures_of_rows(sets: np.ndarray, permutations: int) -> np.ndarray:
+    """As ``signatures``, of sets of equal length that may repeat elements, one in each row."""
+    out = np.empty((len(sets), 2 * permutations), np.uint32)
+    for i in range(permutations):
+        v = ((sets * _FACTORS[i] + _SHIFTS[i]) >> np.uint64(32)).astype(np.uint32)
+        v.min(axis=1, out=out[:, 2 * i])
+        v.max(axis=1, out=out[:, 2 * i + 1])
+    return out
+
+
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """int64 (n, bands): a hash of each band's values and its number."""
     wide = signature[:, : bands * rows].astype(np.uint64).reshape(len(signature), bands, rows)

@@ -1,21 +1,84 @@
-from test_near_dup import brute
+import random
+from itertools import combinations
+
+import pyarrow as pa
+import pytest
 
 from logweave.llm.paragraphs import repeated_paragraphs, without_repeats
+from logweave.llm.shingles import shingle_hashes
+from logweave.llm.words import SPACE_LOWER, split_words
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words_of(text):
+    return (text or "").translate(LOW).split()
+
+
+def brute(docs):
+    """The rows by definition: every 26 starts in a row, every pair of paragraphs."""
+    found = {}
+    for i, text in docs:
+        words = words_of(text)
+        hashes = shingle_hashes(split_words(pa.array([" ".join(words)]), SPACE_LOWER), 5).tolist()
+        starts = range(len(words) - 24)
+        for low in range(max(1, len(starts) - 25) if len(starts) else 0):
+            ranked = [(hashes[p], p) for p in starts[low : low + 26] if p == 0 or hashes[p] != hashes[p - 1]]
+            if ranked:
+                p = min(ranked)[1]
+                found[i, p] = {tuple(words[p + k : p + k + 5]) for k in range(21)}
+    root = {x: x for x in found}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sorted(found), 2):
+        if (a[0] != b[0] or b[1] - a[1] >= 25) and 100 * len(found[a] & found[b]) >= 80 * len(found[a] | found[b]):
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    tops = [top(x) for x in found]
+    return {(*x, 25, *top(x), x[0] == top(x)[0] and x[1] < top(x)[1] + 25) for x in found if tops.count(top(x)) > 1}
 
 
-def test_paragraphs(spark):
-    line = lambda tag, n, cut=0: " ".join(f"{tag}{i if i != cut else 'x'}" for i in range(1, n))
-    docs = [
-        (7, "short line\n" + line("a", 60) + "\n" + line("b", 30)), (2, line("c", 80) + "\nshort line\n" + line("a", 60, 58)), (3, line("b", 30) + "\n" + line("b", 30).upper()),
-        (4, None), (5, ""), (6, line("c", 80, 40)), (8, line("d", 15)), (9, line("d", 15)),
+def prose(seed, n):
+    r = random.Random(seed)
+    return [f"w{r.randrange(5000)}" for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def docs():
+    shared, other, near = prose(1, 50), prose(2, 90), prose(3, 120)
+    changed = [*near[:60], "other", *near[61:]]
+    join = " ".join
+    return [
+        (7, join(prose(4, 33)) + " " + join(shared) + "\n" + join(prose(5, 8))), (2, join(prose(6, 70)) + " " + join(shared[:20]).upper() + "\n\t" + join(shared[20:]) + " " + join(prose(7, 40))),
+        (3, join(other)), (8, join(other)), (8, join(other)), (4, None), (5, ""), (None, join(other)), (6, join(near)), (9, join(prose(8, 5) + changed + prose(9, 60))), (10, join(prose(10, 400))),
+        (11, join(prose(11, 24))), (12, join(prose(11, 24))), (13, "heat " * 400), (14, join(prose(12, 3) + prose(13, 60) + prose(14, 30) + prose(13, 60))), (15, join(prose(15, 9000) + shared[:10])),
     ]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 AS paragraph", "2 AS id")
-    lines = {(i, k): x for i, t in docs if t for k, x in enumerate(t.split("\n")) if len(x.split()) >= 20}
-    order = sorted(lines)
-    expected = brute([(n, lines[k]) for n, k in enumerate(order)], 5)
-    size = {c: [x for _, x in expected.values()].count(c) for _, c in expected.values()}
-    expected = {(*order[n], *order[c], n == c) for n, (_, c) in expected.items() if size[c] > 1}
-    assert {tuple(r) for r in repeated_paragraphs(df).collect()} == expected and len(expected) >= 6
-    kept = {r.doc_id: r.text for r in without_repeats(df).collect()}
-    assert kept[7] == "short line" and kept[4] is None and kept[8] == kept[9] == line("d", 15) and kept[3] == line("b", 30)
+
+
+def test_rows(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 AS id", "2 AS k1", "'x' AS key")
+    rows = [tuple(r) for r in repeated_paragraphs(df).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute({(i, t) for i, t in docs if i is not None})
+    assert {r[0] for r in rows} == {2, 3, 6, 7, 8, 9, 14}
     assert repeated_paragraphs(df.limit(0)).collect() == []
+
+
+def test_every_passage_of_50_words_is_found(spark):
+    passage = prose(20, 50)
+    docs = [(i, " ".join(prose(100 + i, 7 * i % 90) + passage + prose(300 + i, 11 * i % 70))) for i in range(60)] + [(i, " ".join(prose(500 + i, 150))) for i in range(60, 100)]
+    found = repeated_paragraphs(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.doc_id for r in found} == set(range(60)) and all(any(r.doc_id == i and r.keep_doc_id == 0 for r in found) for i in range(60))
+
+
+def test_without_repeats(spark, docs):
+    df = spark.createDataFrame(list(dict.fromkeys(docs)), "doc_id bigint, text string")
+    text = {r.doc_id: r.text for r in without_repeats(df).collect() if r.doc_id is not None}
+    given = dict(docs)
+    assert all(text[i] == given[i] for i in (2, 3, 4, 5, 6, 10, 11, 12, 13, 15))
+    assert len(words_of(text[8])) < 50 and len(words_of(text[7])) <= 33 + 8 + 25
+    kept = words_of(text[7])
+    assert kept[:33] == prose(4, 33) and text[7].endswith("\n" + " ".join(prose(5, 8)))
