@@ -20,8 +20,10 @@ SHINGLE, PERCENT = 5, 80
 #: Words of a paragraph, and starts among which the one with the least shingle hash is taken: 25 + 26 - 1 = 50, so that two
 #: texts with 50 equal words in a row take at least one equal paragraph from them.
 WORDS, STARTS = 25, 26
-#: One pair of paragraphs at the threshold collides with probability 0.94; a passage of 100 words has about six paragraphs.
-BANDS, ROWS = 4, 3
+#: An edit inside a paragraph takes it below the threshold; pairs above it have theirs in the outer two words. Bands are therefore
+#: sharp: equal paragraphs always collide, pairs of 0.91 (an outer word differs) with 0.81, pairs at 0.8 with 0.46, at 0.5 with 0.03.
+#: Recall comes from a passage's many paragraphs: one of 100 words has about six, of which one equal or close one is enough.
+BANDS, ROWS = 2, 6
 #: A paragraph's first word number takes the low bits of its id.
 NUMBER_BITS = 28
 #: Text that is hashed at a time; the arrays beside it take some sixty times as much.
@@ -52,14 +54,18 @@ def _checked_id() -> F.Column:
     return F.when((key >= 0) & (key < (1 << (63 - NUMBER_BITS))), key).otherwise(F.raise_error(F.lit("doc_id out of range")).cast("bigint"))
 
 
-def paragraphs(docs: DataFrame, banded: bool = True) -> DataFrame:
-    """``(id, k1, k2[, n, b0 ..])`` of the paragraphs: id = doc_id * 2^28 + number of the first word, k1 and k2 a key of the
-    set of five-word shingles, n the set's size, b0 .. its band keys. Ids sort by document and place.
+#: Together they tell sets of shingles apart: a 64-bit hash of the set, and the band keys, 64 bits each.
+KEY = ["k", *(f"b{i}" for i in range(BANDS))]
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """``(id, k, b0, b1)`` of the paragraphs: id = doc_id * 2^28 + number of the first word, k a hash of the set of five-word
+    shingles, b0 and b1 its band keys. Ids sort by document and place.
 
     A paragraph is 25 words in a row, over line ends. A doc_id outside 0 to 2^35 - 1 is an error. Null ids and texts, and texts
     below 25 words, have no paragraphs.
     """
-    names = ["id", "k1", "k2"] + (["n", *(f"b{i}" for i in range(BANDS))] if banded else [])
+    names = ["id", *KEY]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,11 +84,9 @@ def paragraphs(docs: DataFrame, banded: bool = True) -> DataFrame:
                 sets = np.sort(hashed[rows[:, None] + np.arange(WORDS - SHINGLE + 1)], axis=1)
                 new = np.ones(sets.shape, bool)
                 new[:, 1:] = sets[:, 1:] != sets[:, :-1]
-                sizes = new.sum(axis=1)
-                keys = b"".join(xxhash.xxh3_128_digest(s.tobytes() if k == len(s) else s[m].tobytes()) for s, m, k in zip(sets, new, sizes.tolist(), strict=True))
-                out = [ids, *np.frombuffer(keys, np.int64).reshape(-1, 2).T]
-                if banded:
-                    out += [sizes, *band_keys(signatures_of_rows(sets, BANDS * ROWS // 2), BANDS, ROWS).T]
+                whole = new.all(axis=1).tolist()
+                keys = np.array([xxhash.xxh3_64_intdigest((x if w else x[m]).tobytes()) for x, m, w in zip(sets, new, whole, strict=True)], np.uint64).view(np.int64)
+                out = [ids, keys, *band_keys(signatures_of_rows(sets, BANDS * ROWS // 2), BANDS, ROWS).T]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), pa.int64()) for x in out], names)
 
     rows = docs.where("doc_id is not null and text is not null").select(_checked_id().alias("doc_id"), "text")
@@ -124,15 +128,13 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     and most shorter ones of over 25 words do. Paragraphs with equal sets form a class, and one of each class goes into the
     banding. Rows that repeat a document count as one. Texts without a repeated paragraph, null and empty ones give no row.
     """
-    key = ["k1", "k2"]
-    classes = paragraphs(docs).groupBy(*key).agg(*(F.min(c).alias(c) for c in ["id", "n", *(f"b{i}" for i in range(BANDS))]), F.max("id").alias("last"))
-    classes = materialize(classes)
-    first = classes.select("id", "n", F.array(*(f"b{i}" for i in range(BANDS))).alias("bands"))
+    classes = materialize(paragraphs(docs).groupBy(*KEY).agg(F.min("id").alias("id"), (F.min("id") < F.max("id")).alias("many")))
+    first = classes.select("id", F.array(*KEY[1:]).alias("bands"))
     _, labels = link(first, lambda ids: _texts(docs, ids), SHINGLE, PERCENT, BANDS, ROWS, _apart)
     labels = materialize(labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct()))
-    marked = classes.join(labels, classes["id"] == labels["node"], "left").where("id < last or node is not null")
-    marked = materialize(marked.select(*key, F.coalesce("component", "id").alias("c")))
-    found = materialize(paragraphs(docs, banded=False).join(marked, key).select("id", "c")).distinct()
+    marked = classes.join(labels, classes["id"] == labels["node"], "left").where("many or node is not null")
+    marked = materialize(marked.select(*KEY, F.coalesce("component", "id").alias("c")))
+    found = materialize(paragraphs(docs).join(marked, KEY).select("id", "c")).distinct()
     doc = lambda c: F.shiftright(c, NUMBER_BITS)
     word = lambda c: F.col(c).bitwiseAND(F.lit((1 << NUMBER_BITS) - 1)).cast("int")
     return found.select(
