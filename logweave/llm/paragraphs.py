@@ -28,6 +28,8 @@ BANDS, ROWS = 2, 6
 NUMBER_BITS = 28
 #: Text that is hashed at a time; the arrays beside it take some sixty times as much.
 SLICE_BYTES = 1 << 20
+#: Places of a text that are looked at together.
+PLACES = 1 << 14
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -45,7 +47,8 @@ def chosen(shingles: np.ndarray, words: int = WORDS, starts: int = STARTS) -> np
     if places <= starts:
         at = np.array([v.argmin()])
     else:
-        at = np.unique(np.lib.stride_tricks.sliding_window_view(v, starts).argmin(axis=1) + np.arange(places - starts + 1))
+        low = range(0, places - starts + 1, PLACES)
+        at = np.unique(np.concatenate([np.lib.stride_tricks.sliding_window_view(v[a : a + PLACES + starts - 1], starts).argmin(axis=1) + np.arange(a, min(a + PLACES, places - starts + 1)) for a in low]))
     return at[v[at] != _NONE]
 
 

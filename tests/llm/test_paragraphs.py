@@ -1,10 +1,11 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from logweave.llm.paragraphs import repeated_paragraphs, without_repeats
+from logweave.llm.paragraphs import chosen, repeated_paragraphs, without_repeats
 from logweave.llm.shingles import shingle_hashes
 from logweave.llm.words import SPACE_LOWER, split_words
 
@@ -82,3 +83,10 @@ def test_without_repeats(spark, docs):
     assert len(words_of(text[8])) < 50 and len(words_of(text[7])) <= 33 + 8 + 25
     kept = words_of(text[7])
     assert kept[:33] == prose(4, 33) and text[7].endswith("\n" + " ".join(prose(5, 8)))
+
+
+def test_places_are_chosen_alike_in_any_portions(monkeypatch):
+    hashes = np.random.default_rng(1).integers(0, 40, 700).astype(np.uint64)
+    whole = chosen(hashes).tolist()
+    monkeypatch.setattr("logweave.llm.paragraphs.PLACES", 7)
+    assert chosen(hashes).tolist() == whole and len(whole) > 30
