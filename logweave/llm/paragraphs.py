@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,14 +98,32 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(id, text)`` of the paragraphs with these ids."""
+    """``(id, text)`` of the paragraphs with these ids. Texts of documents are shuffled compressed."""
     at = F.col("id").bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))
     wanted = materialize(ids.distinct().groupBy(F.shiftright("id", NUMBER_BITS).alias("key")).agg(F.collect_list(at).alias("at")))
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("key"), "text").join(wanted, "key").select("key", "at", "text")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array((press.compress(x.as_buffer()) for x in batch.column("text")), pa.binary())], ["key", "packed"])
+
+    packed = map_batches(docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("key"), "text"), pack, "key bigint, packed binary")
+    rows = packed.join(wanted, "key").select("key", "at", "packed")
+
+    def unpack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Rows with their texts, some MB at a time."""
+        plain, size, a = zstandard.ZstdDecompressor(), 0, 0
+        texts: list[bytes] = []
+        for i, x in enumerate(batch.column("packed")):
+            texts.append(plain.decompress(x.as_buffer()))
+            size += len(texts[-1])
+            if size >= SLICE_BYTES or i == batch.num_rows - 1:
+                yield batch.slice(a, i + 1 - a).select(["key", "at"]).append_column("text", pa.array(texts, pa.binary()).cast(pa.string()))
+                texts, size, a = [], 0, i + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in unpack(batch):
                 words = split_words(part.column("text"), SPACE_LOWER)
                 ids, texts = [], []
                 for i, (key, places) in enumerate(zip(part.column("key").to_pylist(), part.column("at").to_pylist(), strict=True)):
@@ -136,8 +155,9 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     _, labels = link(first, lambda ids: _texts(docs, ids), SHINGLE, PERCENT, BANDS, ROWS, _apart)
     labels = materialize(labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct()))
     marked = classes.join(labels, classes["id"] == labels["node"], "left").where("many or node is not null")
-    marked = materialize(marked.select(*KEY, F.coalesce("component", "id").alias("c")))
-    found = materialize(paragraphs(docs).join(marked, KEY).select("id", "c")).distinct()
+    short = KEY[:2]  # 128 bits
+    marked = materialize(marked.select(*short, F.coalesce("component", "id").alias("c")))
+    found = materialize(paragraphs(docs).select("id", *short).join(marked, short).select("id", "c")).distinct()
     doc = lambda c: F.shiftright(c, NUMBER_BITS)
     word = lambda c: F.col(c).bitwiseAND(F.lit((1 << NUMBER_BITS) - 1)).cast("int")
     return found.select(
