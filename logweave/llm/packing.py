@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,7 +71,7 @@ class Encoder:
             ids = [i for part in self.split(text.lower()) for i in self._part(part)]
         else:
             ids = self.whole.encode(text, add_special_tokens=False).ids
-        return np.array(ids, np.uint16).tobytes()
+        return array("H", ids).tobytes()
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin; one more at the end)."""
