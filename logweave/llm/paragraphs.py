@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.near_dup import link
+from logweave.llm.near_dup import link_buckets
 from logweave.llm.shingles import band_keys, shingle_hashes, signatures_of_rows
 from logweave.llm.words import SPACE_LOWER, map_batches, slices, split_words
 from logweave.plans.materialize import materialize
@@ -21,10 +21,9 @@ SHINGLE, PERCENT = 5, 80
 #: Words of a paragraph, and starts among which the one with the least shingle hash is taken: 25 + 26 - 1 = 50, so that two
 #: texts with 50 equal words in a row take at least one equal paragraph from them.
 WORDS, STARTS = 25, 26
-#: An edit inside a paragraph takes it below the threshold; pairs above it have theirs in the outer two words. Bands are therefore
-#: sharp: equal paragraphs always collide, pairs of 0.91 (an outer word differs) with 0.81, pairs at 0.8 with 0.46, at 0.5 with 0.03.
-#: Recall comes from a passage's many paragraphs: one of 100 words has about six, of which one equal or close one is enough.
-BANDS, ROWS = 2, 6
+#: An edit inside a paragraph takes it below the threshold; pairs above it have theirs in the outer two words. Of pairs at 0.8 the
+#: banding finds 0.993 (1 - (1 - 0.8^3)^7, slightly less for small sets), at 0.91 all but 1e-4, equal ones always.
+BANDS, ROWS = 7, 3
 #: A paragraph's first word number takes the low bits of its id.
 NUMBER_BITS = 28
 #: Text that is hashed at a time; the arrays beside it take some sixty times as much.
@@ -63,8 +62,8 @@ KEY = ["k", *(f"b{i}" for i in range(BANDS))]
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """``(id, k, b0, b1)`` of the paragraphs: id = doc_id * 2^28 + number of the first word, k a hash of the set of five-word
-    shingles, b0 and b1 its band keys. Ids sort by document and place.
+    """``(id, k, b0, b1, ...)`` of the paragraphs: id = doc_id * 2^28 + number of the first word, k a hash of the set of five-word
+    shingles, b0 and so on its band keys. Ids sort by document and place.
 
     A paragraph is 25 words in a row, over line ends. A doc_id outside 0 to 2^35 - 1 is an error. Null ids and texts, and texts
     below 25 words, have no paragraphs.
@@ -90,7 +89,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 new[:, 1:] = sets[:, 1:] != sets[:, :-1]
                 whole = new.all(axis=1).tolist()
                 keys = np.array([xxhash.xxh3_64_intdigest((x if w else x[m]).tobytes()) for x, m, w in zip(sets, new, whole, strict=True)], np.uint64).view(np.int64)
-                out = [ids, keys, *band_keys(signatures_of_rows(sets, BANDS * ROWS // 2), BANDS, ROWS).T]
+                out = [ids, keys, *band_keys(signatures_of_rows(sets, -(-BANDS * ROWS // 2)), BANDS, ROWS).T]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), pa.int64()) for x in out], names)
 
     rows = docs.where("doc_id is not null and text is not null").select(_checked_id().alias("doc_id"), "text")
@@ -137,6 +136,40 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return materialize(map_batches(rows, run, "id bigint, text string").dropDuplicates(["id"]))
 
 
+def _buckets(first: DataFrame) -> DataFrame:
+    """``(band, key, id, hub, m)`` of the buckets of two or more, in one shuffle of the band keys: a bucket streams past by id. m is 3 for three and more."""
+    names = ["band", "key", "id", "hub", "m"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # the last bucket's rows while they are at most two
+        on = None  # key and hub of the last bucket once it has three
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            band, key, ids = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names[:3], strict=True))
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(start, len(key)))
+            hubs = ids[start]
+            if on is not None and key[0] == on[0]:
+                hubs[0] = on[1]
+                sizes_all = np.concatenate([[3], np.minimum(sizes[1:], 3)])
+            else:
+                sizes_all = np.minimum(sizes, 3)
+            on = (key[-1], hubs[-1]) if sizes_all[-1] > 2 else None
+            tail = 0 if on is not None else int(sizes[-1])
+            held = [x[len(x) - tail :] for x in (band, key, ids)]
+            m = np.repeat(sizes_all, sizes)
+            out = m > 1
+            out[len(out) - tail :] = False
+            yield pa.RecordBatch.from_arrays([pa.array(x[out], t) for x, t in zip((band, key, ids, np.repeat(hubs, sizes), m), types, strict=True)], names)
+        if len(held[0]) == 2:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((*held, np.repeat(held[2][:1], 2), [2, 2]), types, strict=True)], names)
+
+    keyed = first.select(F.posexplode("bands").alias("band", "key"), "id").repartition("key").sortWithinPartitions("key", "id")
+    return materialize(map_batches(keyed, run, "band int, key bigint, id bigint, hub bigint, m int"))
+
+
 def _apart(u: int, v: int) -> bool:
     """Whether two paragraphs share no word of one text."""
     return u >> NUMBER_BITS != v >> NUMBER_BITS or abs(u - v) >= WORDS
@@ -152,7 +185,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """
     classes = materialize(paragraphs(docs).groupBy(*KEY).agg(F.min("id").alias("id"), (F.min("id") < F.max("id")).alias("many")))
     first = classes.select("id", F.array(*KEY[1:]).alias("bands"))
-    _, labels = link(first, lambda ids: _texts(docs, ids), SHINGLE, PERCENT, BANDS, ROWS, _apart)
+    _, labels = link_buckets(_buckets(first), lambda ids: _texts(docs, ids), SHINGLE, PERCENT, BANDS, ROWS, _apart)
     labels = materialize(labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct()))
     marked = classes.join(labels, classes["id"] == labels["node"], "left").where("many or node is not null")
     short = KEY[:2]  # 128 bits

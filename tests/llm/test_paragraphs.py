@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from logweave.llm.paragraphs import chosen, repeated_paragraphs, without_repeats
+from logweave.llm.paragraphs import _buckets, chosen, repeated_paragraphs, without_repeats
 from logweave.llm.shingles import shingle_hashes
 from logweave.llm.words import SPACE_LOWER, split_words
 
@@ -90,3 +90,28 @@ def test_places_are_chosen_alike_in_any_portions(monkeypatch):
     whole = chosen(hashes).tolist()
     monkeypatch.setattr("logweave.llm.paragraphs.PLACES", 7)
     assert chosen(hashes).tolist() == whole and len(whole) > 30
+
+
+def test_pairs_near_the_threshold_are_found(spark):
+    """Paragraphs of 25 words of which the two outer words of one end differ, at similarity 19 / 23."""
+    docs = []
+    for i in range(300):
+        text = prose(1000 + i, 25)
+        docs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text[:23], "x", f"y{i}"]))]
+    found = {r.doc_id for r in repeated_paragraphs(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert len(found) >= 0.99 * len(docs)
+
+
+def test_buckets(spark):
+    r = random.Random(5)
+    rows = [(i, [r.randrange(400), 1000 + r.randrange(3), 2000 + i]) for i in range(500)]
+    given = {}
+    for i, bands in rows:
+        for band, key in enumerate(bands):
+            given.setdefault((band, key), []).append(i)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = [tuple(x) for x in _buckets(spark.createDataFrame(rows, "id bigint, bands array<bigint>")).select("band", "key", "id", "hub", "m").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(found) == sorted((*k, i, min(ids), min(len(ids), 3)) for k, ids in given.items() if len(ids) > 1 for i in ids)
