@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.llm.near_dup import link_buckets
@@ -24,6 +24,8 @@ WORDS, STARTS = 25, 26
 #: An edit inside a paragraph takes it below the threshold; pairs above it have theirs in the outer two words. Of pairs at 0.8 the
 #: banding finds 0.993 (1 - (1 - 0.8^3)^7, slightly less for small sets), at 0.91 all but 1e-4, equal ones always.
 BANDS, ROWS = 7, 3
+#: Shortest passage of which every exact repetition is found. Of every 11 seeds of 10 words in a row one is taken: 10 + 11 - 1 = 20.
+LEAST, SEED, SEED_STARTS = 20, 10, 11
 #: A paragraph's first word number takes the low bits of its id.
 NUMBER_BITS = 28
 #: Text that is hashed at a time; the arrays beside it take some sixty times as much.
@@ -33,17 +35,18 @@ PLACES = 1 << 14
 _NONE = np.uint64(2**64 - 1)
 
 
-def chosen(shingles: np.ndarray, words: int = WORDS, starts: int = STARTS) -> np.ndarray:
+def chosen(shingles: np.ndarray, words: int = WORDS, starts: int = STARTS, inner: bool = False) -> np.ndarray:
     """First words of the paragraphs of one text, from the hashes of its shingles in order.
 
     Of every ``starts`` places in a row the first with the least hash is taken, so the choice within a passage depends on the
-    passage alone. In a run of one repeated shingle only the first place counts.
+    passage alone. In a run of one repeated shingle only the first place counts, unless ``inner``.
     """
     places = len(shingles) + SHINGLE - words
     if places < 1:
         return np.zeros(0, np.int64)
     v = shingles[:places].copy()
-    v[1:][shingles[1:places] == shingles[: places - 1]] = _NONE
+    if not inner:
+        v[1:][shingles[1:places] == shingles[: places - 1]] = _NONE
     if places <= starts:
         at = np.array([v.argmin()])
     else:
@@ -96,8 +99,8 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return map_batches(rows, run, ", ".join(f"{c} bigint" for c in names))
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(id, text)`` of the paragraphs with these ids. Texts of documents are shuffled compressed."""
+def _with_places(docs: DataFrame, ids: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``run`` over batches ``(key, at, text)``: documents with the word numbers of their ``ids``. Texts of documents are shuffled compressed."""
     at = F.col("id").bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))
     wanted = materialize(ids.distinct().groupBy(F.shiftright("id", NUMBER_BITS).alias("key")).agg(F.collect_list(at).alias("at")))
 
@@ -120,20 +123,29 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield batch.slice(a, i + 1 - a).select(["key", "at"]).append_column("text", pa.array(texts, pa.binary()).cast(pa.string()))
                 texts, size, a = [], 0, i + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in unpack(batch):
-                words = split_words(part.column("text"), SPACE_LOWER)
-                ids, texts = [], []
-                for i, (key, places) in enumerate(zip(part.column("key").to_pylist(), part.column("at").to_pylist(), strict=True)):
-                    own = words.of(i)
-                    for p in places:
-                        if p + WORDS <= len(own):
-                            ids.append((key << NUMBER_BITS) + p)
-                            texts.append(b" ".join([words.distinct[w] for w in own[p : p + WORDS].tolist()]).decode())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+                yield run(part)
 
-    return materialize(map_batches(rows, run, "id bigint, text string").dropDuplicates(["id"]))
+    return map_batches(rows, over, schema)
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, text)`` of the paragraphs with these ids."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        words = split_words(part.column("text"), SPACE_LOWER)
+        ids, texts = [], []
+        for i, (key, places) in enumerate(zip(part.column("key").to_pylist(), part.column("at").to_pylist(), strict=True)):
+            own = words.of(i)
+            for p in places:
+                if p + WORDS <= len(own):
+                    ids.append((key << NUMBER_BITS) + p)
+                    texts.append(b" ".join([words.distinct[w] for w in own[p : p + WORDS].tolist()]).decode())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+
+    return materialize(_with_places(docs, ids, run, "id bigint, text string").dropDuplicates(["id"]))
 
 
 def _buckets(first: DataFrame) -> DataFrame:
@@ -198,6 +210,73 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     )
 
 
+def _seeds(docs: DataFrame) -> DataFrame:
+    """``(id, h)``: of every ``SEED_STARTS`` runs of ``SEED`` words in a row the one with the least hash of its first shingle, h a hash of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                words = split_words(part.column("text"), SPACE_LOWER)
+                hashed, whole = shingle_hashes(words, SHINGLE), shingle_hashes(words, SEED)
+                ids, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for key, a, b in zip(part.column("doc_id").to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+                    if b - a >= LEAST:
+                        at = chosen(hashed[a : b - SHINGLE + 1], SEED, SEED_STARTS, inner=True)
+                        ids.append((key << NUMBER_BITS) + at)
+                        rows.append(a + at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(whole[np.concatenate(rows)].view(np.int64))], ["id", "h"])
+
+    rows = docs.where("doc_id is not null and text is not null").select(_checked_id().alias("doc_id"), "text")
+    return map_batches(rows, run, "id bigint, h bigint")
+
+
+def _windows(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(id, h)`` of the runs of ``LEAST`` words that hold one of the ``seeds (id)``."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        words = split_words(part.column("text"), SPACE_LOWER)
+        whole = shingle_hashes(words, LEAST)
+        ids, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for key, places, a, b in zip(part.column("key").to_pylist(), part.column("at").to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+            if b - a < LEAST:
+                continue
+            edges = np.zeros(b - a + 2, np.int64)  # places that begin and end to be covered
+            places = np.array(places, np.int64)
+            places = places[places + SEED <= b - a]  # an id may come with several texts
+            np.add.at(edges, np.maximum(places - (LEAST - SEED), 0), 1)
+            np.add.at(edges, places + 1, -1)
+            at = np.flatnonzero(np.cumsum(edges)[: b - a - LEAST + 1] > 0)
+            ids.append((key << NUMBER_BITS) + at)
+            rows.append(a + at)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(whole[np.concatenate(rows)].view(np.int64))], ["id", "h"])
+
+    return _with_places(docs, seeds, run, "id bigint, h bigint").distinct()
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """The columns of ``repeated_paragraphs``, for exactly repeated passages of 20 words or more, each as long as it goes.
+
+    Every run of 20 words is tied to its first place in ``docs`` (by doc_id, then place); ties side by side make one row. So each
+    word of a repetition is in a row whose kept is false, wherever the passages begin and end and whatever stands about them.
+    Rows with kept are the first places, and repetitions that overlap them.
+    """
+    of = lambda df: _buckets(df.select("id", F.array("h").alias("bands"))).select("id", "hub")
+    tied = of(_windows(docs, of(_seeds(docs)).select("id")))
+    doc = lambda c: F.shiftright(c, NUMBER_BITS)
+    word = lambda c: F.col(c).bitwiseAND(F.lit((1 << NUMBER_BITS) - 1)).cast("int")
+    side = [doc("id").alias("doc_id"), (F.col("id") - F.col("hub")).alias("by"), (F.col("id") < F.col("hub") + LEAST).alias("kept")]
+    order = Window.partitionBy("doc_id", "by", "kept").orderBy("id")
+    runs = tied.select("id", "hub", *side).withColumn("run", F.col("id") - F.row_number().over(order))
+    runs = runs.groupBy("doc_id", "by", "kept", "run").agg(F.min("id").alias("id"), F.min("hub").alias("c"), F.count("*").alias("n"))
+    return runs.select("doc_id", word("id").alias("first_word"), (F.col("n") + (LEAST - 1)).cast("int").alias("n_words"), doc("c").alias("keep_doc_id"), word("c").alias("keep_first_word"), "kept")
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """All that is repeated: ``repeated_runs`` in full length, and the near-equal ``repeated_paragraphs``, told apart by near."""
+    near = repeated_paragraphs(docs).withColumn("near", F.lit(True))
+    return near.unionByName(repeated_runs(docs).withColumn("near", F.lit(False)))
+
+
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from logweave.llm.paragraphs import _buckets, chosen, repeated_paragraphs, without_repeats
+from logweave.llm.paragraphs import _buckets, chosen, repeated_paragraphs, repeated_passages, without_repeats
 from logweave.llm.shingles import shingle_hashes
 from logweave.llm.words import SPACE_LOWER, split_words
 
@@ -115,3 +115,40 @@ def test_buckets(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(found) == sorted((*k, i, min(ids), min(len(ids), 3)) for k, ids in given.items() if len(ids) > 1 for i in ids)
+
+
+def short_docs():
+    """Passages of 20 to 49 words in surroundings of their own, a line among others, a long one with two edits, a repetition within a document."""
+    out, n = [], 0
+    for size in (20, 21, 25, 30, 35, 40, 49):
+        passage = prose(2000 + size, size)
+        for k in range(4):
+            out.append((n, " ".join(prose(2100 + n, 10 + 9 * k) + passage + prose(2200 + n, 37 - 9 * k))))
+            n += 1
+    line, long = " ".join(prose(2300, 22)), prose(2301, 100)
+    out += [(100, "a b\n" + line + "\nc"), (101, line), (102, " ".join(prose(2302, 9)) + "\n" + line.upper() + "\nd e"), (103, " ".join(prose(2303, 19)))]
+    out += [(110, " ".join(long)), (111, " ".join([*long[:30], "x", *long[31:65], "y", *long[66:]])), (112, " ".join(prose(2304, 40) + prose(2305, 5) + prose(2304, 40)))]
+    out += [(113, "heat " * 70), (114, " ".join(prose(2306, 30)) + " heat" * 45), (115, "a b c " * 30)]
+    return out + [(i, " ".join(prose(2400 + i, 90))) for i in range(120, 130)]
+
+
+def repeated_words(docs):
+    """By definition: the words in runs of 20 that stand at an earlier place too."""
+    seen, gone = {}, set()
+    for i, text in sorted(docs):
+        words = words_of(text)
+        for p in range(len(words) - 19):
+            first = seen.setdefault(tuple(words[p : p + 20]), (i, p))
+            if first != (i, p) and (first[0] != i or p - first[1] >= 20):
+                gone |= {(i, w) for w in range(p, p + 20)}
+    return gone
+
+
+def test_every_repeated_word_of_passages_of_20_words_is_found(spark):
+    docs = short_docs()
+    rows = repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).where("not near").collect()
+    words = {i: words_of(t) for i, t in docs}
+    assert {(r.doc_id, w) for r in rows if not r.kept for w in range(r.first_word, r.first_word + r.n_words)} == repeated_words(docs)
+    for r in rows:
+        assert words[r.doc_id][r.first_word : r.first_word + r.n_words] == words[r.keep_doc_id][r.keep_first_word : r.keep_first_word + r.n_words]
+    assert {(r.doc_id, r.first_word, r.n_words) for r in rows if r.doc_id == 111} == {(111, 0, 30), (111, 31, 34), (111, 66, 34)}
