@@ -281,19 +281,33 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id and text of ``docs`` less the words of paragraphs that do not stay, but for words of one that stays; null texts stay null."""
-    places = repeated_paragraphs(docs).groupBy("doc_id").agg(*(F.collect_list(F.when(F.col("kept") == stays, F.col("first_word"))).alias(c) for c, stays in (("stay", True), ("go", False))))
-    places = materialize(places.select(F.col("doc_id").alias("key"), "stay", "go"))
+    """doc_id and text of ``docs`` less the words of paragraphs that do not stay, but for words of one that stays; null texts stay null.
+
+    Only whole paragraphs of 25 words go; ``without_passages`` removes repetitions in their full length.
+    """
+    return _without(docs, repeated_paragraphs(docs).withColumn("near", F.lit(True)))
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """doc_id and text of ``docs`` less every word of an exact repetition of 20 words or more, and less the words of near-equal
+    paragraphs that do not stay, but for words of one that stays; null texts stay null."""
+    return _without(docs, repeated_passages(docs))
+
+
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    kinds = {"stay": F.col("near") & F.col("kept"), "go": F.col("near") & ~F.col("kept"), "runs": ~F.col("near") & ~F.col("kept")}
+    places = found.groupBy(F.col("doc_id").alias("key")).agg(*(F.collect_list(F.when(is_, F.struct("first_word", "n_words"))).alias(c) for c, is_ in kinds.items()))
+    places, columns = materialize(places), ["text", *kinds]
     rows = docs.select("doc_id", "text").join(places, docs["doc_id"].cast("bigint") == places["key"], "left").drop("key")
 
-    def cut(text: str, stay: list[int], go: list[int]) -> str:
+    def cut(text: str, *spans_of: list[dict]) -> str:
         data = text.encode()
         spans = [m.span() for m in _WORD.finditer(data)]
         gone = np.zeros(len(spans) + 1, bool)
-        for p in go:
-            gone[p : p + WORDS] = True
-        for p in stay:
-            gone[p : p + WORDS] = False
+        for which, value in ((1, True), (0, False), (2, True)):
+            for x in spans_of[which]:
+                gone[x["first_word"] : x["first_word"] + x["n_words"]] = value
+        gone[-1] = False
         out, at = [], 0
         edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0))
         for a, b in zip(edges[::2], edges[1::2], strict=True):
@@ -303,7 +317,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [cut(*x) if x[2] and x[0] is not None else x[0] for x in zip(*(batch.column(c).to_pylist() for c in ("text", "stay", "go")), strict=True)]
+            texts = [cut(*x) if x[0] is not None and (x[2] or x[3]) else x[0] for x in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return map_batches(rows, run, rows.select("doc_id", "text").schema)

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from logweave.llm.paragraphs import _buckets, chosen, repeated_paragraphs, repeated_passages, without_repeats
+from logweave.llm.paragraphs import _buckets, chosen, repeated_paragraphs, repeated_passages, without_passages, without_repeats
 from logweave.llm.shingles import shingle_hashes
 from logweave.llm.words import SPACE_LOWER, split_words
 
@@ -152,3 +152,14 @@ def test_every_repeated_word_of_passages_of_20_words_is_found(spark):
     for r in rows:
         assert words[r.doc_id][r.first_word : r.first_word + r.n_words] == words[r.keep_doc_id][r.keep_first_word : r.keep_first_word + r.n_words]
     assert {(r.doc_id, r.first_word, r.n_words) for r in rows if r.doc_id == 111} == {(111, 0, 30), (111, 31, 34), (111, 66, 34)}
+
+
+def test_whole_repetitions_are_removed(spark):
+    docs = short_docs()
+    text = {r.doc_id: r.text for r in without_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    gone = repeated_words(docs)
+    left = {i: [w for k, w in enumerate(words_of(t)) if (i, k) not in gone] for i, t in docs}
+    assert left[111] == ["x", "y"] and left[101] == [] and left[102] == prose(2302, 9) + ["d", "e"]
+    for i, t in text.items():  # nothing of a repetition stays; beyond it near-equal paragraphs take up to two words at each end
+        rest = iter(left[i])
+        assert all(w in rest for w in words_of(t)) and len(left[i]) - len(words_of(t)) <= 4
