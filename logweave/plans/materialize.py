@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it is unset (one machine, as in tests) a temporary folder."""
+    """The session's spark.checkpoint.dir. Only a session on one machine may go without; it gets a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logweave-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="logweave-"))
     return sc.getCheckpointDir()
 
 
@@ -19,3 +23,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """The frame computed once and stored with copies that outlive executors; later reads run none of its plan again."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files, broadcasts and (with spark.cleaner.referenceTracking.cleanCheckpoints) checkpoints that nothing refers to any more.
+
+    Spark's cleaner acts on references that the driver's garbage collection finds dead, and a driver with little to do collects
+    rarely; called after a large step, the step's files go before the next one writes its own.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
