@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from bisect import bisect
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,8 @@ SEQUENCE, WINDOW_SEQUENCES, END_ID = 4096, 16, 2
 QUEUES = 4096
 #: Rows of the (task, queue) offset table that may be broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
-CACHE_WORDS = 600_000
+#: Bytes of the two caches of a worker's encoder, each in two generations.
+CACHE_BYTES = 32 << 20
 
 _state: dict[str, tuple] = {}  # by vocabulary file, of this worker
 
@@ -33,6 +36,27 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Cache:
+    """Values by key in two generations of bounded bytes: when the young one is full it becomes the old one, and what is met again moves up."""
+
+    ENTRY = 200  # of two small objects and their slot, beside their contents
+
+    def __init__(self, most: int):
+        self.young, self.old, self.size, self.most = {}, {}, 0, most // 2
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value: bytes) -> None:
+        if self.size >= self.most:
+            self.young, self.old, self.size = {}, self.young, 0
+        self.young[key] = value
+        self.size += self.ENTRY + len(key) + len(value)
+
+
 class Encoder:
     """Token ids of texts by white-space separated pieces; a piece is encoded once while it stays in the worker's cache.
 
@@ -48,46 +72,41 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.dtype = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         # Printable ASCII and the Latin-1 letters: already composed, lower-cased one to one, no white space. "<" may open a special token.
         self.plain = regex.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+").fullmatch
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.byte_text = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(33, 127), *range(0xC0, 0x100)])}
-        self.pieces: dict[bytes, bytes] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.byte_text = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(33, 127), *range(0xC0, 0x100)])}
+        self.pieces, self.parts = Cache(CACHE_BYTES), Cache(CACHE_BYTES)
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            ids = [t.id for t in self.model.tokenize("".join(map(self.byte_text.__getitem__, part)))]
-            if len(self.parts) >= CACHE_WORDS:
-                self.parts.clear()
-            self.parts[part] = ids
+            ids = array(self.dtype().dtype.char, [t.id for t in self.model.tokenize(part.translate(self.byte_text))]).tobytes()
+            self.parts.put(part, ids)
         return ids
 
     def _piece(self, piece: bytes) -> bytes:
         text = piece.decode()
         if self.plain(text):
-            ids = [i for part in self.split(text.lower()) for i in self._part(part)]
-        else:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-        return array("H", ids).tobytes()
+            return b"".join(map(self._part, self.split(text.lower())))
+        return array(self.dtype().dtype.char, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin; one more at the end)."""
         words = split_words(column, SPACE)
-        if len(self.pieces) >= CACHE_WORDS:
-            self.pieces.clear()
         own = []
         for w in words.distinct:
             ids = self.pieces.get(w)
             if ids is None:
-                ids = self.pieces[w] = self._piece(w)
+                ids = self._piece(w)
+                self.pieces.put(w, ids)
             own.append(ids)
         if not own:
-            return np.zeros(0, np.uint16), np.zeros(len(column) + 1, np.int64)
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 2
-        flat, starts = np.frombuffer(b"".join(own), np.uint16), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            return np.zeros(0, self.dtype), np.zeros(len(column) + 1, np.int64)
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // self.dtype().itemsize
+        flat, starts = np.frombuffer(b"".join(own), self.dtype), np.concatenate(([0], np.cumsum(sizes)[:-1]))
         n = sizes[words.index]
         before = np.concatenate(([0], np.cumsum(n)))
         take = np.repeat(starts[words.index] - before[:-1], n) + np.arange(before[-1])
@@ -101,22 +120,21 @@ def encoder(path: str) -> Encoder:
 
 
 def _tokenize(docs: DataFrame, path: str, queues: dict[str, int] | None) -> DataFrame:
-    """doc_id, queue, part, begin (in its task's share of the queue), n and the ids as uint16."""
+    """doc_id, queue, part, begin (in its task's share of the queue), n and the ids in the encoder's width."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, filled = encoder(path), TaskContext.get().partitionId(), {}
+        end = np.array([END_ID], enc.dtype).tobytes()
         for batch in batches:
             for rows in slices(batch, "text", 2 << 20):
                 ids, at = enc.encode(rows.column("text"))
-                out, begin, n, queue = [], [], [], []
+                out, begin, queue, n = [], [], [], (np.diff(at) + 1).tolist()
                 for i, source in enumerate(rows.column("source").to_pylist()):
                     q = queues[source] if queues is not None else zlib.crc32(source.encode()) % QUEUES
-                    own = np.append(ids[at[i] : at[i + 1]], np.uint16(END_ID))
-                    out.append(own.tobytes())
+                    out.append(ids[at[i] : at[i + 1]].tobytes() + end)
                     begin.append(filled.get(q, 0))
-                    n.append(len(own))
                     queue.append(q)
-                    filled[q] = begin[-1] + len(own)
+                    filled[q] = begin[-1] + n[i]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array(queue, pa.int32()), pa.array([part] * len(n), pa.int32()), pa.array(begin, pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.binary())],
                     ["doc_id", "queue", "part", "begin", "n", "ids"],
@@ -125,62 +143,118 @@ def _tokenize(docs: DataFrame, path: str, queues: dict[str, int] | None) -> Data
     return map_batches(docs, run, "doc_id bigint, queue int, part int, begin bigint, n bigint, ids binary")
 
 
-class Mixture:
-    """Where a queue's tokens stand in the packed stream.
+class Phase:
+    """Windows of ``size`` tokens, every queue taking part in each by its share of the phase's tokens.
 
-    Queue s holds total[s] tokens and takes part in every window of ``size`` tokens by its share of all tokens, the target that
-    empties all queues together. After w windows it has given floor(w * size * total[s] / all) tokens: what a window falls short
-    of the share, always under one token, is the deficit carried into the next, across sequences, documents and tasks alike.
+    Queue s gives amounts[s] tokens in all. After w windows it has given floor(w * size * amounts[s] / all) of them: what a window
+    falls short of the share, always under one token, is the deficit carried into the next, across sequences, documents and
+    tasks alike. What all queues together have given before a window is kept for the windows in use.
     """
 
-    def __init__(self, totals: np.ndarray, size: int):
-        self.totals, self.size, self.all = [int(t) for t in totals], size, int(totals.sum())
+    KEPT = 64
+
+    def __init__(self, amounts: list[int], size: int):
+        self.amounts, self.size, self.all = amounts, size, sum(amounts)
+        self.known: dict[int, np.ndarray] = {}
 
     def given(self, q: int, w: int) -> int:
-        return min(self.totals[q], w * self.size * self.totals[q] // self.all)
+        return min(self.amounts[q], w * self.size * self.amounts[q] // self.all)
+
+    def places(self, w: int) -> np.ndarray:
+        """For each queue the place, in the phase, of its first token of window w."""
+        if w not in self.known:
+            if len(self.known) >= self.KEPT:
+                self.known.pop(next(iter(self.known)))
+            before = np.array([self.given(q, w) for q in range(len(self.amounts))], np.int64)
+            after = np.array([self.given(q, w + 1) for q in range(len(self.amounts))], np.int64)
+            self.known[w] = before.sum() + np.concatenate(([0], np.cumsum(after - before)[:-1]))
+        return self.known[w]
 
     def run(self, q: int, at: int) -> tuple[int, int]:
-        """(place in the stream, tokens that follow without a break) of the queue's token ``at``."""
-        w = max(0, at * self.all // (self.totals[q] * self.size) - 1)
+        """(place in the phase, tokens that follow without a break) of the queue's token ``at``."""
+        w = max(0, at * self.all // (self.amounts[q] * self.size) - 1)
         while self.given(q, w + 1) <= at:
             w += 1
-        place = sum(self.given(k, w + (k < q)) for k in range(len(self.totals)))
-        start, end = self.given(q, w), self.given(q, w + 1)
-        return place + at - start, end - at
+        return int(self.places(w)[q]) + at - self.given(q, w), self.given(q, w + 1) - at
 
 
-def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES) -> DataFrame:
+class Mixture:
+    """Where a queue's tokens stand in the packed stream: phases one after the other, each with its queues' target proportions.
+
+    Without ``targets`` a queue's target is its share of all tokens, which empties all queues together: one phase. With them, a
+    phase ends when a queue runs dry, and the others share its part in the proportions of their own targets. Queues with target
+    0 are packed after all others, by their shares.
+    """
+
+    def __init__(self, totals: list[int], size: int, targets: list[float] | None = None):
+        self.totals, self.phases = [int(t) for t in totals], []
+        weights = [Fraction(x) for x in targets] if targets is not None else [Fraction(t) for t in self.totals]
+        left, at = list(self.totals), 0
+        self.starts: list[list[tuple[int, int]]] = [[] for _ in left]  # by queue: (its first token of a phase, the phase)
+        while any(left):
+            live = [q for q, n in enumerate(left) if n and weights[q] > 0]
+            if not live:
+                weights = [Fraction(n) for n in left]
+                continue
+            rounds = min(left[q] / weights[q] for q in live)
+            amounts = [0] * len(left)
+            for q in live:
+                amounts[q] = min(left[q], int(rounds * weights[q]))
+                if amounts[q]:
+                    self.starts[q].append((self.totals[q] - left[q], len(self.phases)))
+                left[q] -= amounts[q]
+            self.phases.append((at, Phase(amounts, size)))
+            at += sum(amounts)
+
+    def run(self, q: int, at: int) -> tuple[int, int]:
+        """(place in the stream, tokens that follow without a break) of the queue's token ``at``."""
+        first, k = self.starts[q][bisect(self.starts[q], at, key=lambda x: x[0]) - 1]
+        begin, phase = self.phases[k]
+        place, most = phase.run(q, at - first)
+        return begin + place, most
+
+
+def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, window_sequences: int | None = None, targets: dict[str, float] | None = None) -> DataFrame:
     """One row per piece of ``docs (doc_id, text, source)``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its token ids and the end id; a null or wordless text is the end id alone. Every id is in one piece, every
     sequence but the last is full. A null source is a queue like any other, the empty one. Repeated rows are packed as
-    separate documents. Documents are tokenized once and stored; only a count for each task and queue is shuffled.
+    separate documents. An empty table gives no rows; other columns are ignored. Documents are tokenized once and stored;
+    only a count for each task and queue is shuffled.
+
+    ``targets`` gives proportions of tokens by source, 0 for sources it does not name; without it every source's target is its
+    share of all tokens. It needs at most ``QUEUES`` sources. A window has ``window_sequences`` sequences, and unless told
+    otherwise as many as there are queues (16 at least), so that a queue's part of a window is not a sliver.
     """
     path = path or tokenizer_path()
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
     names = [r[0] for r in docs.select("source").distinct().limit(QUEUES + 1).collect()]
     queues = {s: i for i, s in enumerate(sorted(names))} if len(names) <= QUEUES else None
+    if targets is not None and queues is None:
+        raise ValueError(f"targets need at most {QUEUES} sources")
     tokens = materialize(_tokenize(docs, path, queues))
     shares = materialize(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")))
     before = W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = shares.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    totals = np.zeros(max(1, len(queues) if queues is not None else QUEUES), np.int64)
+    totals = [0] * max(1, len(queues) if queues is not None else QUEUES)
     for r in shares.groupBy("queue").agg(F.sum("n")).collect():  # a row for each queue
         totals[r[0]] = r[1]
-    mixture = Mixture(totals, sequence * window_sequences)
+    wanted = None if targets is None else [targets.get(s, 0) for s in sorted(names)] or [0]
+    mixture = Mixture(totals, sequence * (window_sequences or max(WINDOW_SEQUENCES, len(totals))), wanted)
     offsets = F.broadcast(offsets) if shares.count() <= BROADCAST_ROWS else offsets
     placed = tokens.join(offsets, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("begin")).alias("at"), "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        names, dtype = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], encoder(path).dtype
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                ids, start = np.frombuffer(r["ids"], np.uint16).astype("<u4"), 0
-                while start < r["n"]:
-                    place, most = mixture.run(r["queue"], r["at"] + start)
-                    size = min(most, r["n"] - start, sequence - place % sequence)
-                    rows.append((r["doc_id"], start, size, zlib.crc32(ids[start : start + size].tobytes()), r["n"], place // sequence, place % sequence))
+            own = (batch.column(c).to_pylist() for c in ("doc_id", "queue", "at", "n"))
+            for key, q, at, n, data in zip(*own, batch.column("ids"), strict=True):
+                ids, start = np.frombuffer(data.as_buffer(), dtype).astype("<u4"), 0
+                while start < n:
+                    place, most = mixture.run(q, at + start)
+                    size = min(most, n - start, sequence - place % sequence)
+                    rows.append((key, start, size, zlib.crc32(ids[start : start + size]), n, place // sequence, place % sequence))
                     start += size
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 7)], names)
 

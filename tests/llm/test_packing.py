@@ -3,9 +3,10 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from tokenizers import Tokenizer
 
-from logweave.llm.packing import Mixture, pack, tokenizer_path
+from logweave.llm.packing import Cache, Mixture, pack, tokenizer_path
 
 
 def check(spark, rows, sequence=4096, windows=16):
@@ -47,8 +48,9 @@ def test_mixture(spark):
         assert all(abs(got[k][s] - 64 * n / total) <= 2 + len(share) for s, n in share.items())
 
 
-def test_mixture_places_every_token_once():
-    m = Mixture(np.array([1000, 3, 0, 77, 1]), 50)
+@pytest.mark.parametrize("targets", [None, [1, 1, 1, 1, 1], [0.5, 0.25, 1, 0, 0.25], [0, 0, 0, 0, 0]])
+def test_mixture_places_every_token_once(targets):
+    m = Mixture([1000, 3, 0, 77, 1], 50, targets)
     seen = []
     for q, n in enumerate(m.totals):
         at = 0
@@ -59,5 +61,26 @@ def test_mixture_places_every_token_once():
     assert sorted(seen) == list(range(1081))
 
 
+def test_targets_hold_while_sources_last(spark):
+    rows = [(i, "alpha beta gamma " * 20, "ab"[i % 2]) for i in range(40)] + [(100 + i, "delta " * 30, "c") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    tokens = defaultdict(lambda: defaultdict(int))
+    for p in pack(df, sequence=100, window_sequences=1, targets={"a": 3, "b": 1}).collect():
+        tokens[p.sequence_id]["c" if p.doc_id >= 100 else "ab"[p.doc_id % 2]] += p.length
+    total = {s: sum(t.get(s, 0) for t in tokens.values()) for s in "abc"}
+    dry = total["a"] // 75  # a is the first to run dry, in this window
+    assert dry > 5 and all(abs(tokens[k]["a"] - 75) <= 1 and tokens[k]["a"] + tokens[k]["b"] == 100 for k in range(dry))
+    alone = -(-(total["a"] + total["b"]) // 100)  # c has no target and comes last
+    assert all(set(tokens[k]) == {"b"} for k in range(dry + 1, alone - 1)) and all(set(tokens[k]) == {"c"} for k in range(alone, len(tokens)))
+
+
+def test_cache_is_bounded():
+    cache = Cache(100_000)
+    for i in range(5000):
+        cache.put(str(i).encode(), b"xx")
+        assert cache.get(b"0") == b"xx"
+    assert len(cache.young) + len(cache.old) < 600 and cache.get(b"1") is None
+
+
 def test_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id bigint, text string, source string")).collect() == []
