@@ -7,14 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.words import ALNUM_LOWER, map_batches, slices, split_words, text_bytes
 
 WINDOW = 10
-#: Words of items in one automaton: it is sent to every task, so a larger benchmark becomes several passes.
+#: Words of items in one automaton; a larger benchmark becomes several, of which a task holds one at a time.
 AUTOMATON_WORDS = 200_000
+#: Slices of text that meet one automaton after the other.
+CHUNK_SLICES = 16
 
 
 class SuffixAutomaton:
@@ -124,40 +127,64 @@ def _automata(benchmark: DataFrame, window: int) -> Iterator[SuffixAutomaton]:
         yield SuffixAutomaton(block, window)
 
 
-_FOUND = "doc_id bigint, text string, n_words bigint, spans array<bigint>, items array<string>, longest bigint"
+def _broadcast(benchmark: DataFrame, window: int) -> list[Broadcast]:
+    """The automata, one after the other built here, written out and given to Spark; a session holds one in Python at a time."""
+    sc = benchmark.sparkSession.sparkContext
+    return [sc.broadcast(a) for a in _automata(benchmark, window)]
 
 
-def _pass(docs: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = automaton.words
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words = split_words(part.column("text"), ALNUM_LOWER)
-                code = np.fromiter((known.get(w, -1) for w in words.distinct), np.int64, len(words.distinct))
-                codes = code[words.index] if len(code) else np.zeros(0, np.int64)
-                spans, items, longest = (part.column(c).to_pylist() for c in ("spans", "items", "longest"))
-                for i in range(part.num_rows):
-                    own = codes[words.first[i] : words.first[i + 1]]
-                    edge = np.flatnonzero(np.diff(np.concatenate(([False], own >= 0, [False])).astype(np.int8)))
-                    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                        if b - a >= automaton.shortest:
-                            found, of, most = automaton.scan(own[a:b].tolist())
-                            longest[i] = max(longest[i], most)
-                            if found:
-                                spans[i] = spans[i] + [a + x for span in found for x in span]
-                                items[i] = items[i] + sorted(of)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text"), pa.array(np.diff(words.first)), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())],
-                    ["doc_id", "text", "n_words", "spans", "items", "longest"],
-                )
-
-    return map_batches(docs, run, _FOUND)
-
-
-def _hits(spans: list[int]) -> list[tuple[int, int]]:
-    """Disjoint spans in order, from flat pairs."""
+class Found:
+    """What a part's rows have met so far."""
+
+    def __init__(self, part: pa.RecordBatch):
+        self.part, self.words = part, split_words(part.column("text"), ALNUM_LOWER)
+        self.spans: list[list[tuple[int, int]]] = [[] for _ in range(part.num_rows)]
+        self.items: list[set] = [set() for _ in range(part.num_rows)]
+        self.longest = [0] * part.num_rows
+
+    def meet(self, automaton: SuffixAutomaton) -> None:
+        words, known = self.words, automaton.words
+        code = np.fromiter((known.get(w, -1) for w in words.distinct), np.int64, len(words.distinct))
+        codes = code[words.index] if len(code) else np.zeros(0, np.int64)
+        for i in range(self.part.num_rows):
+            own = codes[words.first[i] : words.first[i + 1]]
+            edge = np.flatnonzero(np.diff(np.concatenate(([False], own >= 0, [False])).astype(np.int8)))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                if b - a >= automaton.shortest:
+                    found, of, most = automaton.scan(own[a:b].tolist())
+                    self.longest[i] = max(self.longest[i], most)
+                    self.spans[i] += [(a + x, a + y) for x, y in found]
+                    self.items[i] |= of
+
+    def hits(self) -> list[list[tuple[int, int]]]:
+        return [_hits(s) for s in self.spans]
+
+
+def _meet(batches: Iterator[pa.RecordBatch], automata: list[Broadcast]) -> Iterator[Found]:
+    """Every slice of text past every automaton. With several automata some slices go together, and one automaton is in memory at a time."""
+    chunk: list[Found] = []
+
+    def past() -> Iterator[Found]:
+        for a in automata:
+            for found in chunk:
+                found.meet(a.value)
+            if len(automata) > 1:
+                vars(a).pop("_value", None)  # read again from the worker's disk for the next chunk
+        yield from chunk
+        chunk.clear()
+
+    for batch in batches:
+        for part in slices(batch, "text"):
+            chunk.append(Found(part))
+            if len(automata) < 2 or len(chunk) == CHUNK_SLICES:
+                yield from past()
+    yield from past()
+
+
+def _hits(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans in order."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -188,27 +215,46 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     clean_text is the text without them (null if nothing was hit). Null or wordless texts and items have no words. Repeated
     rows give repeated rows. Documents stream past the automaton within their partition: nothing is shuffled.
     """
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.expr("cast(array() as array<bigint>) AS spans"),
-                        F.expr("cast(array() as array<string>) AS items"), F.lit(0).cast("bigint").alias("longest"))
-    for automaton in [*_automata(benchmark, window)] or [SuffixAutomaton([], window)]:
-        found = _pass(found, automaton)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            hits = [_hits(r["spans"]) for r in rows]
-            items = [sorted(set(r["items"])) for r in rows]
+    automata = _broadcast(benchmark, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _meet(batches, automata):
+            hits, items, part = found.hits(), [sorted(x) for x in found.items], found.part
             n_hit = [sum(b - a for a, b in h) for h in hits]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array([n > 0 for n in n_hit], pa.bool_()), batch.column("longest"),
+                    part.column("doc_id"), pa.array(np.diff(found.words.first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
+                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array([n > 0 for n in n_hit], pa.bool_()), pa.array(found.longest, pa.int64()),
                     pa.array([[{"start": a, "end": b} for a, b in h] for h in hits], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([_without(r["text"], h) if h else None for r, h in zip(rows, hits, strict=True)], pa.string()),
+                    pa.array([_without(t.as_py(), h) if h else None for t, h in zip(part.column("text"), hits, strict=True)], pa.string()),
                 ],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "spans", "clean_text"],
             )
 
     return map_batches(
-        found, finish, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest bigint, spans array<struct<start:bigint,end:bigint>>, clean_text string"
+        docs.select("doc_id", "text"), run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest bigint, spans array<struct<start:bigint,end:bigint>>, clean_text string"
     )
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, most_covered: float, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs (text, ...)`` less those of whose words over ``most_covered`` (a share) are hit; of the others only the hit spans go.
+
+    All columns pass through untouched but for text, and for n_chars where there is such a column: both change in rows with a
+    hit. Rows are looked at one by one, so null or repeated ids and repeated rows do not matter; a null text has no words and
+    stays. An empty table stays empty, and an empty benchmark takes nothing.
+    """
+    automata = _broadcast(benchmark, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _meet(batches, automata):
+            part, hits = found.part, found.hits()
+            at = [i for i, h in enumerate(hits) if h]
+            if at:
+                texts = {i: _without(part.column("text")[i].as_py(), hits[i]) for i in at}
+                new = {"text": texts, "n_chars": {i: len(t) for i, t in texts.items()}}
+                columns = [pa.array([n.get(i, v) for i, v in enumerate(c.to_pylist())], c.type) if (n := new.get(name)) else c for name, c in zip(part.schema.names, part.columns, strict=True)]
+                covered = np.array([sum(b - a for a, b in h) for h in hits]) > most_covered * np.diff(found.words.first)
+                part = pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(~covered))
+            yield part
+
+    return map_batches(docs, run, docs.schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from logweave.llm.words import SPACE, map_batches, slices, split_words
+from logweave.llm.words import ASCII_SPACE, map_batches, slices, text_bytes
 from logweave.plans.materialize import materialize
 
 SEQUENCE, WINDOW_SEQUENCES, END_ID = 4096, 16, 2
@@ -24,8 +24,8 @@ SEQUENCE, WINDOW_SEQUENCES, END_ID = 4096, 16, 2
 QUEUES = 4096
 #: Rows of the (task, queue) offset table that may be broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
-#: Bytes of the two caches of a worker's encoder, each in two generations.
-CACHE_BYTES = 32 << 20
+#: Bytes of the cache of a worker's encoder.
+CACHE_BYTES = 64 << 20
 
 _state: dict[str, tuple] = {}  # by vocabulary file, of this worker
 
@@ -57,60 +57,104 @@ class Cache:
         self.size += self.ENTRY + len(key) + len(value)
 
 
+SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
+
+
+def _kinds() -> np.ndarray:
+    """What each byte is. Letters are a-z, A-Z and the two bytes of a Latin-1 letter; odd bytes need the whole tokenizer."""
+    kind = np.full(256, ODD, np.uint8)
+    kind[33:127] = OTHER
+    kind[list(ASCII_SPACE)] = SPACE
+    for a, b, k in ((48, 58, DIGIT), (65, 91, LETTER), (97, 123, LETTER), (0x80, 0xC0, LETTER), (0xC3, 0xC4, LETTER)):
+        kind[a:b] = k
+    kind[list(b"<'")] = ODD  # may open a special token, or be part of a contraction
+    return kind
+
+
 class Encoder:
-    """Token ids of texts by white-space separated pieces; a piece is encoded once while it stays in the worker's cache.
+    """Token ids of texts by parts; a part is encoded once while it stays in the worker's cache.
 
-    The vocabulary splits at white space before anything else and never merges across it, so the ids of a text are those of
-    its pieces one after the other. Pieces of plain Latin letters go to the model directly, by the same normalisation and
-    split; all others through the whole tokenizer.
+    The vocabulary splits at white space before anything else, then into runs of letters, single digits and runs of others,
+    and never merges across: the ids of a text are those of its parts one after the other. Where a piece between white space
+    has Latin-1 letters, digits and ASCII marks alone (already composed, lower-cased one to one) the parts are cut here and
+    go to the model directly; any other piece is a part by itself and goes through the whole tokenizer.
     """
 
+    KIND = _kinds()
+    LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+    ODD_BYTES = bytes(np.flatnonzero(KIND == ODD).astype(np.uint8))
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.dtype = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        # Printable ASCII and the Latin-1 letters: already composed, lower-cased one to one, no white space. "<" may open a special token.
-        self.plain = regex.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+").fullmatch
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.byte_text = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(33, 127), *range(0xC0, 0x100)])}
-        self.pieces, self.parts = Cache(CACHE_BYTES), Cache(CACHE_BYTES)
-
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = array(self.dtype().dtype.char, [t.id for t in self.model.tokenize(part.translate(self.byte_text))]).tobytes()
-            self.parts.put(part, ids)
-        return ids
-
-    def _piece(self, piece: bytes) -> bytes:
-        text = piece.decode()
-        if self.plain(text):
-            return b"".join(map(self._part, self.split(text.lower())))
-        return array(self.dtype().dtype.char, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        text_of = {b: level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(33, 127), *range(0xC0, 0x100)]) for b in [c.encode()]}
+        self.byte_text = {b[k]: t[k] for b, t in text_of.items() for k in range(len(b))}
+        self.parts = Cache(CACHE_BYTES)
+
+    def _split(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(of each text, its first part; one more at the end; part numbers; distinct parts)."""
+        offsets, data = text_bytes(column)
+        if not len(data):
+            return np.zeros(len(column) + 1, np.int64), np.zeros(0, np.int32), []
+        kind, low = self.KIND[data], self.LOWER[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        after = data[lead + 1]
+        kind[lead[(after == 0x97) | (after == 0xB7)]] = ODD  # the signs among the letters
+        upper = lead[(after < 0x9F) & (after != 0x97)] + 1
+        low[upper] += 0x20
+        first = np.zeros(len(data), bool)  # of a text
+        first[offsets[:-1][offsets[:-1] < len(data)]] = True
+        inside = kind != SPACE
+        piece = inside.copy()
+        piece[1:] &= ~inside[:-1] | first[1:]
+        start = kind == DIGIT
+        start[1:] |= kind[1:] != kind[:-1]
+        start |= first
+        start &= inside
+        odd = np.flatnonzero(kind == ODD)
+        if len(odd):
+            begins = np.flatnonzero(piece)
+            own = np.unique(np.searchsorted(begins, odd, "right") - 1)
+            for a, b in zip(begins[own].tolist(), np.append(begins, len(data))[own + 1].tolist(), strict=True):
+                low[a:b] = data[a:b]
+                start[a + 1 : b] = False
+        starts = np.flatnonzero(start)
+        ends = np.zeros(len(starts) + 1, np.int32)
+        ends[1:] = np.cumsum(inside)[np.append(starts[1:], len(data)) - 1]
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(low[inside])]).dictionary_encode()
+        return np.searchsorted(starts, offsets), words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
+
+    def _part(self, part: bytes) -> bytes:
+        if len(part.translate(None, self.ODD_BYTES)) < len(part):
+            ids = self.whole.encode(part.decode(), add_special_tokens=False).ids
+        else:
+            text = part.decode("latin-1")
+            ids = [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.byte_text))]
+        return array(self.dtype().dtype.char, ids).tobytes()
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin; one more at the end)."""
-        words = split_words(column, SPACE)
-        own = []
-        for w in words.distinct:
-            ids = self.pieces.get(w)
+        first, index, distinct = self._split(column)
+        own, get, put = [], self.parts.get, self.parts.put
+        for w in distinct:
+            ids = get(w)
             if ids is None:
-                ids = self._piece(w)
-                self.pieces.put(w, ids)
+                ids = self._part(w)
+                put(w, ids)
             own.append(ids)
         if not own:
             return np.zeros(0, self.dtype), np.zeros(len(column) + 1, np.int64)
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // self.dtype().itemsize
         flat, starts = np.frombuffer(b"".join(own), self.dtype), np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        n = sizes[words.index]
+        n = sizes[index]
         before = np.concatenate(([0], np.cumsum(n)))
-        take = np.repeat(starts[words.index] - before[:-1], n) + np.arange(before[-1])
-        return flat[take], before[words.first]
+        take = np.repeat(starts[index] - before[:-1], n) + np.arange(before[-1])
+        return flat[take], before[first]
 
 
 def encoder(path: str) -> Encoder:

@@ -1,4 +1,10 @@
-"""Substring dedup: near-equal passages across and within documents, wherever they stand in a line, removed but for one of each cluster."""
+"""Substring dedup: near-equal paragraphs by min-max hash banding, and every exact repetition of 20 words or more wherever it stands.
+
+Paragraphs are the lines of a text. Their shingle sets are banded for high recall, colliding ones are joined, links are
+verified by exact Jaccard similarity on full sets, and of each component the first paragraph stays. Beside that, passages that
+repeat inside lines or over line ends are found exactly: a word run of each is chosen by content (a seed), and around seeds
+that occur twice every run of 20 words is tied to its first place.
+"""
 
 from __future__ import annotations
 
@@ -7,306 +13,333 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.near_dup import link_buckets
-from logweave.llm.shingles import band_keys, shingle_hashes, signatures_of_rows
-from logweave.llm.words import SPACE_LOWER, map_batches, slices, split_words
-from logweave.plans.materialize import materialize
+from logweave.llm.near_dup import link
+from logweave.llm.shingles import band_keys, range_sets, runs_of, signatures, word_stream
+from logweave.llm.words import SPACE_LOWER, Words, map_batches, pack_texts, slices, split_words, unpack_texts
+from logweave.plans.materialize import drop, materialize, release, store
 
 SHINGLE, PERCENT = 5, 80
-#: Words of a paragraph, and starts among which the one with the least shingle hash is taken: 25 + 26 - 1 = 50, so that two
-#: texts with 50 equal words in a row take at least one equal paragraph from them.
-WORDS, STARTS = 25, 26
-#: An edit inside a paragraph takes it below the threshold; pairs above it have theirs in the outer two words. Of pairs at 0.8 the
-#: banding finds 0.993 (1 - (1 - 0.8^3)^7, slightly less for small sets), at 0.91 all but 1e-4, equal ones always.
-BANDS, ROWS = 7, 3
-#: Shortest passage of which every exact repetition is found. Of every 11 seeds of 10 words in a row one is taken: 10 + 11 - 1 = 20.
+#: Of pairs at similarity 0.8 the banding finds 0.9997 (1 - (1 - 0.8^2)^8), of more similar ones more, equal ones always.
+BANDS, ROWS = 8, 2
+#: Words of the shortest passage that counts inside a longer text. Of every 11 seeds of 10 words in a row one is taken: 10 + 11 - 1 = 20.
 LEAST, SEED, SEED_STARTS = 20, 10, 11
-#: A paragraph's first word number takes the low bits of its id.
-NUMBER_BITS = 28
+#: A seed at over one in so many places has its runs tied in two steps, which split over tasks; at most so many seeds do.
+HOT, LEAST_HOT = 1024, 1024
 #: Text that is hashed at a time; the arrays beside it take some sixty times as much.
 SLICE_BYTES = 1 << 20
 #: Places of a text that are looked at together.
 PLACES = 1 << 14
-_NONE = np.uint64(2**64 - 1)
 
 
-def chosen(shingles: np.ndarray, words: int = WORDS, starts: int = STARTS, inner: bool = False) -> np.ndarray:
-    """First words of the paragraphs of one text, from the hashes of its shingles in order.
+def chosen(shingles: np.ndarray, words: int, starts: int) -> np.ndarray:
+    """Of every ``starts`` runs of ``words`` words in a row the first with the least hash, from the hashes of a text's shingles in order.
 
-    Of every ``starts`` places in a row the first with the least hash is taken, so the choice within a passage depends on the
-    passage alone. In a run of one repeated shingle only the first place counts, unless ``inner``.
+    So the choice within a passage depends on the passage alone.
     """
     places = len(shingles) + SHINGLE - words
-    if places < 1:
+    if places < starts:
         return np.zeros(0, np.int64)
-    v = shingles[:places].copy()
-    if not inner:
-        v[1:][shingles[1:places] == shingles[: places - 1]] = _NONE
-    if places <= starts:
-        at = np.array([v.argmin()])
-    else:
-        low = range(0, places - starts + 1, PLACES)
-        at = np.unique(np.concatenate([np.lib.stride_tricks.sliding_window_view(v[a : a + PLACES + starts - 1], starts).argmin(axis=1) + np.arange(a, min(a + PLACES, places - starts + 1)) for a in low]))
-    return at[v[at] != _NONE]
+    v, low = shingles[:places], range(0, places - starts + 1, PLACES)
+    at = [np.lib.stride_tricks.sliding_window_view(v[a : a + PLACES + starts - 1], starts).argmin(axis=1) + np.arange(a, min(a + PLACES, places - starts + 1)) for a in low]
+    return np.unique(np.concatenate(at))
 
 
-def _checked_id() -> F.Column:
-    key = F.col("doc_id").cast("bigint")
-    return F.when((key >= 0) & (key < (1 << (63 - NUMBER_BITS))), key).otherwise(F.raise_error(F.lit("doc_id out of range")).cast("bigint"))
+class Lines:
+    """The words of some texts and where their paragraphs stand: lines of ``LEAST`` words or more, and whole texts of fewer."""
 
+    def __init__(self, column: pa.Array):
+        lists = pc.split_pattern(column.fill_null(""), "\n")
+        self.words = split_words(lists.values, SPACE_LOWER)
+        offsets = lists.offsets.to_numpy()
+        self.text_first = self.words.first[offsets]  # of each text, its first word; one more at the end
+        counts = np.diff(self.text_first)
+        line_row = np.repeat(np.arange(len(counts)), np.diff(offsets))
+        long = np.flatnonzero(np.diff(self.words.first) >= LEAST)
+        short = np.flatnonzero((counts > 0) & (counts < LEAST))
+        start = np.concatenate((self.words.first[long], self.text_first[short]))
+        order = np.argsort(start, kind="stable")
+        self.start = start[order]
+        self.end = np.concatenate((self.words.first[long + 1], self.text_first[short + 1]))[order]
+        self.row = np.concatenate((line_row[long], short))[order]
 
-#: Together they tell sets of shingles apart: a 64-bit hash of the set, and the band keys, 64 bits each.
-KEY = ["k", *(f"b{i}" for i in range(BANDS))]
+    def flat(self) -> Words:
+        """The words by texts."""
+        return Words(self.text_first, self.words.index, self.words.distinct)
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """``(id, k, b0, b1, ...)`` of the paragraphs: id = doc_id * 2^28 + number of the first word, k a hash of the set of five-word
-    shingles, b0 and so on its band keys. Ids sort by document and place.
+def _set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
 
-    A paragraph is 25 words in a row, over line ends. A doc_id outside 0 to 2^35 - 1 is an error. Null ids and texts, and texts
-    below 25 words, have no paragraphs.
-    """
-    names = ["id", *KEY]
+
+_BAND = [f"b{i}" for i in range(BANDS)]
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """One row per paragraph of ``docs (doc_id, text)``: doc_id, first_word (its number from 0), n_words, n (shingles in its set), k
+    and t (hashes of the set and of the words in order) and its band keys b0, b1, ..."""
+    names = ["doc_id", "first_word", "n_words", "n", "k", "t", *_BAND]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                words = split_words(part.column("text"), SPACE_LOWER)
-                hashed = shingle_hashes(words, SHINGLE)
-                ids, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for key, a, b in zip(part.column("doc_id").to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-                    if b - a >= WORDS:
-                        at = chosen(hashed[a : b - SHINGLE + 1])
-                        ids.append((key << NUMBER_BITS) + at)
-                        rows.append(a + at)
-                ids, rows = np.concatenate(ids), np.concatenate(rows)
-                if not len(ids):
+                lines = Lines(part.column("text"))
+                if not len(lines.start):
                     continue
-                sets = np.sort(hashed[rows[:, None] + np.arange(WORDS - SHINGLE + 1)], axis=1)
-                new = np.ones(sets.shape, bool)
-                new[:, 1:] = sets[:, 1:] != sets[:, :-1]
-                whole = new.all(axis=1).tolist()
-                keys = np.array([xxhash.xxh3_64_intdigest((x if w else x[m]).tobytes()) for x, m, w in zip(sets, new, whole, strict=True)], np.uint64).view(np.int64)
-                out = [ids, keys, *band_keys(signatures_of_rows(sets, -(-BANDS * ROWS // 2)), BANDS, ROWS).T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), pa.int64()) for x in out], names)
-
-    rows = docs.where("doc_id is not null and text is not null").select(_checked_id().alias("doc_id"), "text")
-    return map_batches(rows, run, ", ".join(f"{c} bigint" for c in names))
+                hashed = word_stream(lines.words)
+                sets = range_sets(hashed, lines.start, lines.end, SHINGLE)
+                order = [xxhash.xxh3_64_intdigest(hashed[a:b].tobytes()) for a, b in zip(lines.start.tolist(), lines.end.tolist(), strict=True)]
+                bands = band_keys(signatures(sets, -(-BANDS * ROWS // 2)), BANDS, ROWS)
+                numbers = [lines.start - lines.text_first[lines.row], lines.end - lines.start, [len(s) for s in sets]]
+                arrays = [part.column("doc_id").take(pa.array(lines.row)), *(pa.array(x, pa.int32()) for x in numbers), pa.array(_set_keys(sets)), pa.array(np.array(order, np.uint64).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(np.ascontiguousarray(b)) for b in bands.T)], names)
 
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text")
+    return map_batches(rows, run, "doc_id bigint, first_word int, n_words int, n int, k bigint, t bigint, " + ", ".join(f"{b} bigint" for b in _BAND))
 
-def _with_places(docs: DataFrame, ids: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``run`` over batches ``(key, at, text)``: documents with the word numbers of their ``ids``. Texts of documents are shuffled compressed."""
-    at = F.col("id").bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))
-    wanted = materialize(ids.distinct().groupBy(F.shiftright("id", NUMBER_BITS).alias("key")).agg(F.collect_list(at).alias("at")))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array((press.compress(x.as_buffer()) for x in batch.column("text")), pa.binary())], ["key", "packed"])
-
-    packed = map_batches(docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("key"), "text"), pack, "key bigint, packed binary")
-    rows = packed.join(wanted, "key").select("key", "at", "packed")
-
-    def unpack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Rows with their texts, some MB at a time."""
-        plain, size, a = zstandard.ZstdDecompressor(), 0, 0
-        texts: list[bytes] = []
-        for i, x in enumerate(batch.column("packed")):
-            texts.append(plain.decompress(x.as_buffer()))
-            size += len(texts[-1])
-            if size >= SLICE_BYTES or i == batch.num_rows - 1:
-                yield batch.slice(a, i + 1 - a).select(["key", "at"]).append_column("text", pa.array(texts, pa.binary()).cast(pa.string()))
-                texts, size, a = [], 0, i + 1
+def _with_places(docs: DataFrame, places: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, all_docs: bool = False) -> DataFrame:
+    """``run`` over batches ``(id, text, ...)``: documents with the lists that ``places (id, ...)`` has for them. Texts are shuffled compressed."""
+    packed = pack_texts(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id is not null"))
+    rows = packed.join(places, "id", "left" if all_docs else "inner")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in unpack(batch):
-                yield run(part)
+        for part in unpack_texts(batches, SLICE_BYTES):
+            yield run(part)
 
     return map_batches(rows, over, schema)
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(id, text)`` of the paragraphs with these ids."""
+def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, packed)`` of the classes with these ids, from the place that stands for each."""
+    places = classes.join(ids, "id").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("first_word", "id", "k")).alias("at")).withColumnRenamed("of", "id")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        words = split_words(part.column("text"), SPACE_LOWER)
+        lines = Lines(part.column("text"))
+        hashed, known = word_stream(lines.words), {}
+        for i, (row, start) in enumerate(zip(lines.row.tolist(), (lines.start - lines.text_first[lines.row]).tolist(), strict=True)):
+            known[row, start] = i
         ids, texts = [], []
-        for i, (key, places) in enumerate(zip(part.column("key").to_pylist(), part.column("at").to_pylist(), strict=True)):
-            own = words.of(i)
-            for p in places:
-                if p + WORDS <= len(own):
-                    ids.append((key << NUMBER_BITS) + p)
-                    texts.append(b" ".join([words.distinct[w] for w in own[p : p + WORDS].tolist()]).decode())
+        for row, places in enumerate(part.column("at").to_pylist()):
+            found = [(x, known.get((row, x["first_word"]))) for x in places]
+            found = [(x, i) for x, i in found if i is not None]
+            if found:
+                at = np.array([i for _, i in found])
+                keys = _set_keys(range_sets(hashed, lines.start[at], lines.end[at], SHINGLE)).tolist()
+                for (x, i), k in zip(found, keys, strict=True):
+                    if k == x["k"]:  # a doc_id may come with several texts
+                        ids.append(x["id"])
+                        texts.append(b" ".join([lines.words.distinct[w] for w in lines.words.index[lines.start[i] : lines.end[i]].tolist()]).decode())
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
 
-    return materialize(_with_places(docs, ids, run, "id bigint, text string").dropDuplicates(["id"]))
-
+    return pack_texts(_with_places(docs, places, run, "id bigint, text string"))
 
-def _buckets(first: DataFrame) -> DataFrame:
-    """``(band, key, id, hub, m)`` of the buckets of two or more, in one shuffle of the band keys: a bucket streams past by id. m is 3 for three and more."""
-    names = ["band", "key", "id", "hub", "m"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # the last bucket's rows while they are at most two
-        on = None  # key and hub of the last bucket once it has three
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            band, key, ids = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names[:3], strict=True))
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(start, len(key)))
-            hubs = ids[start]
-            if on is not None and key[0] == on[0]:
-                hubs[0] = on[1]
-                sizes_all = np.concatenate([[3], np.minimum(sizes[1:], 3)])
-            else:
-                sizes_all = np.minimum(sizes, 3)
-            on = (key[-1], hubs[-1]) if sizes_all[-1] > 2 else None
-            tail = 0 if on is not None else int(sizes[-1])
-            held = [x[len(x) - tail :] for x in (band, key, ids)]
-            m = np.repeat(sizes_all, sizes)
-            out = m > 1
-            out[len(out) - tail :] = False
-            yield pa.RecordBatch.from_arrays([pa.array(x[out], t) for x, t in zip((band, key, ids, np.repeat(hubs, sizes), m), types, strict=True)], names)
-        if len(held[0]) == 2:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((*held, np.repeat(held[2][:1], 2), [2, 2]), types, strict=True)], names)
-
-    keyed = first.select(F.posexplode("bands").alias("band", "key"), "id").repartition("key").sortWithinPartitions("key", "id")
-    return materialize(map_batches(keyed, run, "band int, key bigint, id bigint, hub bigint, m int"))
-
-
-def _apart(u: int, v: int) -> bool:
-    """Whether two paragraphs share no word of one text."""
-    return u >> NUMBER_BITS != v >> NUMBER_BITS or abs(u - v) >= WORDS
+def _near(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The near-equal paragraphs of ``signed``, as ``repeated_paragraphs`` has them."""
+    spark, key = docs.sparkSession, ["k", *_BAND]
+    one = [F.first(c).alias(c) for c in ("n", "doc_id", "first_word")]
+    classes = store(signed.groupBy(*key).agg(*one, (F.count("*") > 1).alias("many")).withColumn("id", F.monotonically_increasing_id()))
+    release(spark)
+    first = classes.select("id", "n", F.array(*_BAND).alias("bands"))
+    _, labels = link(first, lambda ids: _texts(docs, classes, ids), SHINGLE, PERCENT, BANDS, ROWS)
+    labels = materialize(labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct()))
+    marked = classes.join(labels, classes["id"] == labels["node"], "left").where("many or node is not null")
+    marked = store(marked.select(*key[:3], F.coalesce("component", "id").alias("c")))  # 192 bits tell sets apart
+    members = store(signed.select("doc_id", "first_word", "n_words", *key[:3]).join(marked, key[:3]).select("c", "doc_id", "first_word", "n_words").distinct())
+    place = F.struct("doc_id", "first_word")
+    keep = store(members.groupBy("c").agg(F.min(place).alias("keep"), F.max(place).alias("last")).where("keep != last").drop("last"))
+    drop(classes, marked)
+    release(spark)
+    found = members.join(keep, "c").select("doc_id", "first_word", "n_words", "keep", (place == F.col("keep")).alias("kept"))
+    return found.select("doc_id", "first_word", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.first_word").alias("keep_first_word"), "kept")
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """One row per paragraph that has a near-equal one: doc_id, first_word (its number from 0), n_words, keep_doc_id, keep_first_word, kept.
 
-    Two paragraphs are linked when their sets of five-word shingles are at least 0.8 similar; the first one (by doc_id, then
-    place) of each connected component stays, and so do those that overlap it. Paragraphs that overlap are not linked. Every passage of 50 or more words that stands twice gives rows for both places,
-    and most shorter ones of over 25 words do. Paragraphs with equal sets form a class, and one of each class goes into the
-    banding. Rows that repeat a document count as one. Texts without a repeated paragraph, null and empty ones give no row.
+    A paragraph is a line of 20 words or more, or a whole text of fewer. Two are linked when their sets of five-word shingles
+    (all words, of fewer than five) are at least 0.8 similar; of each connected component the first (by doc_id, then place)
+    stays. Paragraphs with equal sets form a class, and one of each class goes into the banding. Rows that repeat a document
+    count as one. Null ids and texts and wordless texts have no paragraphs; an empty table gives no rows.
     """
-    classes = materialize(paragraphs(docs).groupBy(*KEY).agg(F.min("id").alias("id"), (F.min("id") < F.max("id")).alias("many")))
-    first = classes.select("id", F.array(*KEY[1:]).alias("bands"))
-    _, labels = link_buckets(_buckets(first), lambda ids: _texts(docs, ids), SHINGLE, PERCENT, BANDS, ROWS, _apart)
-    labels = materialize(labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct()))
-    marked = classes.join(labels, classes["id"] == labels["node"], "left").where("many or node is not null")
-    short = KEY[:2]  # 128 bits
-    marked = materialize(marked.select(*short, F.coalesce("component", "id").alias("c")))
-    found = materialize(paragraphs(docs).select("id", *short).join(marked, short).select("id", "c")).distinct()
-    doc = lambda c: F.shiftright(c, NUMBER_BITS)
-    word = lambda c: F.col(c).bitwiseAND(F.lit((1 << NUMBER_BITS) - 1)).cast("int")
-    return found.select(
-        doc("id").alias("doc_id"), word("id").alias("first_word"), F.lit(WORDS).alias("n_words"), doc("c").alias("keep_doc_id"), word("c").alias("keep_first_word"), (F.col("id") < F.col("c") + WORDS).alias("kept")
-    )
+    signed = store(paragraphs(docs))
+    return _near(docs, signed)
 
 
-def _seeds(docs: DataFrame) -> DataFrame:
-    """``(id, h)``: of every ``SEED_STARTS`` runs of ``SEED`` words in a row the one with the least hash of its first shingle, h a hash of its words."""
+def _equal_lines(signed: DataFrame) -> DataFrame:
+    """Paragraphs of ``LEAST`` words or more whose words stand as a paragraph elsewhere too: doc_id, w, n_words, t, hub (the first place)."""
+    rows = signed.where(F.col("n_words") >= LEAST).select("doc_id", F.col("first_word").alias("w"), "n_words", "t", "k")
+    place = F.struct("doc_id", "w")
+    hubs = rows.groupBy("t", "k", "n_words").agg(F.min(place).alias("hub"), F.max(place).alias("last")).where("hub != last").drop("last")
+    return store(rows.join(store(hubs), ["t", "k", "n_words"]).select("doc_id", "w", "n_words", "t", "hub"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                words = split_words(part.column("text"), SPACE_LOWER)
-                hashed, whole = shingle_hashes(words, SHINGLE), shingle_hashes(words, SEED)
-                ids, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for key, a, b in zip(part.column("doc_id").to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-                    if b - a >= LEAST:
-                        at = chosen(hashed[a : b - SHINGLE + 1], SEED, SEED_STARTS, inner=True)
-                        ids.append((key << NUMBER_BITS) + at)
-                        rows.append(a + at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(whole[np.concatenate(rows)].view(np.int64))], ["id", "h"])
 
-    rows = docs.where("doc_id is not null and text is not null").select(_checked_id().alias("doc_id"), "text")
-    return map_batches(rows, run, "id bigint, h bigint")
+def _copied(lines: list, hashed: np.ndarray, inner: int) -> np.ndarray:
+    """For each word of a text whether the ``inner`` words from there stand inside one of the copied lines."""
+    edges = np.zeros(len(hashed) + 1, np.int64)
+    for x in lines or ():
+        a, b = x["w"], x["w"] + x["n_words"]
+        if b - a >= inner and b <= len(hashed) and xxhash.xxh3_64_intdigest(hashed[a:b].tobytes()) == x["t"] % 2**64:  # an id may come with several texts
+            edges[a] += 1
+            edges[b - inner + 1] -= 1
+    return np.cumsum(edges)[:-1] > 0
 
 
-def _windows(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``(id, h)`` of the runs of ``LEAST`` words that hold one of the ``seeds (id)``."""
+def _seeds(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """``(doc_id, w, h)``: of every ``SEED_STARTS`` runs of ``SEED`` words in a row the one with the least hash of its first shingle, h a hash of its words.
+
+    ``copied (id, lines)`` are lines that stand earlier as a whole; a seed of which every surrounding run of ``LEAST`` words
+    lies inside such a line is left out.
+    """
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         words = split_words(part.column("text"), SPACE_LOWER)
-        whole = shingle_hashes(words, LEAST)
-        ids, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for key, places, a, b in zip(part.column("key").to_pylist(), part.column("at").to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-            if b - a < LEAST:
-                continue
-            edges = np.zeros(b - a + 2, np.int64)  # places that begin and end to be covered
-            places = np.array(places, np.int64)
-            places = places[places + SEED <= b - a]  # an id may come with several texts
-            np.add.at(edges, np.maximum(places - (LEAST - SEED), 0), 1)
-            np.add.at(edges, places + 1, -1)
-            at = np.flatnonzero(np.cumsum(edges)[: b - a - LEAST + 1] > 0)
-            ids.append((key << NUMBER_BITS) + at)
-            rows.append(a + at)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(whole[np.concatenate(rows)].view(np.int64))], ["id", "h"])
+        stream = word_stream(words)
+        hashed, whole = runs_of(stream, SHINGLE), runs_of(stream, SEED)
+        rows, at, h = [], [], []
+        for i, (lines, a, b) in enumerate(zip(part.column("lines").to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+            if b - a >= LEAST:
+                own = chosen(hashed[a : b - SHINGLE + 1], SEED, SEED_STARTS)
+                if lines:
+                    around = own - (LEAST - SEED)
+                    own = own[(around < 0) | ~_copied(lines, stream[a:b], 2 * LEAST - SEED)[around]]
+                rows.append(np.full(len(own), i))
+                at.append(own)
+                h.append(whole[a + own])
+        rows, at, h = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((rows, np.int64), (at, np.int64), (h, np.uint64)))
+        return pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), pa.array(at, pa.int32()), pa.array(h.view(np.int64))], ["doc_id", "w", "h"])
+
+    return _with_places(docs, copied, run, "doc_id bigint, w int, h bigint", all_docs=True)
+
+
+def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(doc_id, w, h, hot)`` of the runs of ``LEAST`` words that hold one of the seeds of ``wanted (id, at, lines)`` and stand in no copied line."""
 
-    return _with_places(docs, seeds, run, "id bigint, h bigint").distinct()
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        words = split_words(part.column("text"), SPACE_LOWER)
+        stream = word_stream(words)
+        whole = runs_of(stream, LEAST)
+        rows, at, h, hot = [], [], [], []
+        for i, (places, lines, a, b) in enumerate(zip(part.column("at").to_pylist(), part.column("lines").to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+            n = b - a - LEAST + 1
+            if n < 1:
+                continue
+            seen = []
+            for kind in (False, True):
+                edges = np.zeros(n + SEED + LEAST, np.int64)
+                p = np.array([x["w"] for x in places if kind is False or x["hot"]], np.int64)
+                p = p[p + SEED <= b - a]  # an id may come with several texts
+                np.add.at(edges, np.maximum(p - (LEAST - SEED), 0), 1)
+                np.add.at(edges, np.minimum(p, n - 1) + 1, -1)
+                seen.append(np.cumsum(edges)[:n] > 0)
+            own = np.flatnonzero(seen[0] & ~_copied(lines, stream[a:b], LEAST)[:n])
+            rows.append(np.full(len(own), i))
+            at.append(own)
+            h.append(whole[a + own])
+            hot.append(seen[1][own])
+        rows, at, h, hot = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((rows, np.int64), (at, np.int64), (h, np.uint64), (hot, bool)))
+        return pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), pa.array(at, pa.int32()), pa.array(h.view(np.int64)), pa.array(hot)], ["doc_id", "w", "h", "hot"])
+
+    return _with_places(docs, wanted, run, "doc_id bigint, w int, h bigint, hot boolean")
+
+
+def _tied(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(doc_id, w, hub)`` of the windows that stand at two places or more, hub the first of them.
+
+    Windows around a frequent seed are grouped with partial sums and joined back, which Spark splits over tasks; of the
+    others, in one shuffle, a bounded number meets in a task, sorted and streaming.
+    """
+    place, by = F.struct("doc_id", "w"), Window.partitionBy("h").orderBy("doc_id", "w")
+    first = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cold = _windows(docs, wanted).where("not hot").select("doc_id", "w", "h")
+    cold = cold.select("doc_id", "w", F.struct(F.first("doc_id").over(first).alias("doc_id"), F.first("w").over(first).alias("w")).alias("hub"), F.lead("doc_id").over(by).alias("next_doc"), F.lead("w").over(by).alias("next_w"))
+    cold = cold.where((F.col("hub") != place) | (F.col("next_doc") != F.col("doc_id")) | (F.col("next_w") != F.col("w"))).drop("next_doc", "next_w")
+    around = wanted.where("exists(at, x -> x.hot)")
+    if around.isEmpty():
+        return cold
+    hot = store(_windows(docs, around).where("hot").select("doc_id", "w", "h"))
+    hubs = store(hot.groupBy("h").agg(F.min(place).alias("hub"), F.max(place).alias("last")).where("hub != last").drop("last"))
+    return hot.join(hubs, "h").select("doc_id", "w", "hub").unionByName(cold)
+
+
+def _runs(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The exact repetitions, as ``repeated_runs`` has them."""
+    spark, place = docs.sparkSession, F.struct("doc_id", "w")
+    equal = _equal_lines(signed)
+    release(spark)
+    copied = store(equal.where(F.col("hub") != place).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("w", "n_words", "t")).alias("lines")))
+    seeds = store(_seeds(docs, copied))
+    release(spark)
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("doc_id", "w") for f in (F.min, F.max)]
+    twice = seeds.groupBy("h").agg(*ends, F.count("*").alias("n")).where("min_doc_id < max_doc_id or min_w < max_w")
+    twice = store(twice.select("h", (F.col("n") > max(seeds.count() / HOT, LEAST_HOT)).alias("hot")))
+    release(spark)
+    wanted = seeds.join(twice, "h").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("w", "hot")).alias("at"))
+    wanted = store(wanted.join(copied, "id", "left"))
+    drop(seeds, twice, copied)
+    release(spark)
+    tied = store(_tied(docs, wanted))
+    drop(wanted)
+    release(spark)
+    tied = tied.withColumn("n_words", F.lit(LEAST)).unionByName(equal.drop("t"))
+    # Ties of one document to the same stretch of another, side by side, make one row.
+    side = tied.select("doc_id", "w", "n_words", F.col("hub.doc_id").alias("keep_doc_id"), (F.col("w") - F.col("hub.w")).alias("by"))
+    side = side.withColumn("kept", (F.col("doc_id") == F.col("keep_doc_id")) & (F.col("by") < LEAST))
+    same = ["doc_id", "keep_doc_id", "by", "kept"]
+    order = Window.partitionBy(*same).orderBy("w", "n_words")
+    reach = F.max(F.col("w") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    side = side.withColumn("reach", reach)
+    side = side.withColumn("run", F.count(F.when(F.col("reach").isNull() | (F.col("w") > F.col("reach")), 1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = side.groupBy(*same, "run").agg(F.min("w").alias("first_word"), F.max(F.col("w") + F.col("n_words")).alias("end"))
+    return runs.select("doc_id", "first_word", (F.col("end") - F.col("first_word")).alias("n_words"), "keep_doc_id", (F.col("first_word") - F.col("by")).alias("keep_first_word"), "kept")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """The columns of ``repeated_paragraphs``, for exactly repeated passages of 20 words or more, each as long as it goes.
 
-    Every run of 20 words is tied to its first place in ``docs`` (by doc_id, then place); ties side by side make one row. So each
-    word of a repetition is in a row whose kept is false, wherever the passages begin and end and whatever stands about them.
-    Rows with kept are the first places, and repetitions that overlap them.
+    Every run of 20 words, and every line as a whole, is tied to its first place in ``docs`` (by doc_id, then place); ties side
+    by side make one row. So each word of a repetition is in a row whose kept is false, wherever the passages begin and end
+    and whatever stands about them. Rows with kept are the first places, and repetitions that overlap them.
     """
-    of = lambda df: _buckets(df.select("id", F.array("h").alias("bands"))).select("id", "hub")
-    tied = of(_windows(docs, of(_seeds(docs)).select("id")))
-    doc = lambda c: F.shiftright(c, NUMBER_BITS)
-    word = lambda c: F.col(c).bitwiseAND(F.lit((1 << NUMBER_BITS) - 1)).cast("int")
-    side = [doc("id").alias("doc_id"), (F.col("id") - F.col("hub")).alias("by"), (F.col("id") < F.col("hub") + LEAST).alias("kept")]
-    order = Window.partitionBy("doc_id", "by", "kept").orderBy("id")
-    runs = tied.select("id", "hub", *side).withColumn("run", F.col("id") - F.row_number().over(order))
-    runs = runs.groupBy("doc_id", "by", "kept", "run").agg(F.min("id").alias("id"), F.min("hub").alias("c"), F.count("*").alias("n"))
-    return runs.select("doc_id", word("id").alias("first_word"), (F.col("n") + (LEAST - 1)).cast("int").alias("n_words"), doc("c").alias("keep_doc_id"), word("c").alias("keep_first_word"), "kept")
+    return _runs(docs, store(paragraphs(docs)))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """All that is repeated: ``repeated_runs`` in full length, and the near-equal ``repeated_paragraphs``, told apart by near."""
-    near = repeated_paragraphs(docs).withColumn("near", F.lit(True))
-    return near.unionByName(repeated_runs(docs).withColumn("near", F.lit(False)))
+    signed = store(paragraphs(docs))
+    near = _near(docs, signed).withColumn("near", F.lit(True))
+    return near.unionByName(_runs(docs, signed).withColumn("near", F.lit(False)))
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id and text of ``docs`` less the words of paragraphs that do not stay, but for words of one that stays; null texts stay null.
-
-    Only whole paragraphs of 25 words go; ``without_passages`` removes repetitions in their full length.
-    """
+    """doc_id and text of ``docs`` less the near-equal paragraphs that do not stay; null texts stay null."""
     return _without(docs, repeated_paragraphs(docs).withColumn("near", F.lit(True)))
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
-    """doc_id and text of ``docs`` less every word of an exact repetition of 20 words or more, and less the words of near-equal
-    paragraphs that do not stay, but for words of one that stays; null texts stay null."""
+    """doc_id and text of ``docs`` less every word of an exact repetition of 20 words or more, and less the near-equal
+    paragraphs that do not stay; null texts stay null."""
     return _without(docs, repeated_passages(docs))
 
 
 def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
-    kinds = {"stay": F.col("near") & F.col("kept"), "go": F.col("near") & ~F.col("kept"), "runs": ~F.col("near") & ~F.col("kept")}
-    places = found.groupBy(F.col("doc_id").alias("key")).agg(*(F.collect_list(F.when(is_, F.struct("first_word", "n_words"))).alias(c) for c, is_ in kinds.items()))
-    places, columns = materialize(places), ["text", *kinds]
-    rows = docs.select("doc_id", "text").join(places, docs["doc_id"].cast("bigint") == places["key"], "left").drop("key")
+    gone = found.where("not kept").groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("gone"))
+    rows = docs.select("doc_id", "text").join(materialize(gone), docs["doc_id"].cast("bigint") == F.col("key"), "left").drop("key")
 
-    def cut(text: str, *spans_of: list[dict]) -> str:
+    def cut(text: str, places: list[dict]) -> str:
         data = text.encode()
         spans = [m.span() for m in _WORD.finditer(data)]
         gone = np.zeros(len(spans) + 1, bool)
-        for which, value in ((1, True), (0, False), (2, True)):
-            for x in spans_of[which]:
-                gone[x["first_word"] : x["first_word"] + x["n_words"]] = value
+        for x in places:
+            gone[x["first_word"] : x["first_word"] + x["n_words"]] = True
         gone[-1] = False
         out, at = [], 0
         edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0))
@@ -317,7 +350,7 @@ def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [cut(*x) if x[0] is not None and (x[2] or x[3]) else x[0] for x in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
+            texts = [cut(text, places) if text is not None and places else text for text, places in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return map_batches(rows, run, rows.select("doc_id", "text").schema)

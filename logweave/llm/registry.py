@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import archive, classify, decontaminate, exact, html, near_dup, packing, paragraphs, tokens
+from logweave.plans.materialize import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,7 +64,7 @@ SQL["op5_decontaminate"] = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM docu
 
 @query
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = archive.fresh_folder(spark)
+    folder = fresh_folder(spark, "warc")
     archive.write_warc(table(spark, sf_dir, "pages"), folder)
     return archive.read_warc(spark, folder, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

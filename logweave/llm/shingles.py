@@ -31,7 +31,7 @@ def _hashed(words: Words) -> np.ndarray:
     return word_hashes(words.distinct)[words.index] if len(words.index) else np.zeros(0, np.uint64)
 
 
-def _runs(hashed: np.ndarray, size: int) -> np.ndarray:
+def runs_of(hashed: np.ndarray, size: int) -> np.ndarray:
     """A hash of every ``size`` words in a row, over text ends too."""
     if len(hashed) < size:
         return np.zeros(0, np.uint64)
@@ -41,18 +41,16 @@ def _runs(hashed: np.ndarray, size: int) -> np.ndarray:
     return mix(whole)
 
 
-def shingle_hashes(words: Words, size: int) -> np.ndarray:
-    """Hashes of the shingles of all texts, one text after the other; text i has those from words.first[i] to words.first[i + 1] - size."""
-    return _runs(_hashed(words), size)
+def word_stream(words: Words) -> np.ndarray:
+    """Hashes of all words in order."""
+    return _hashed(words)
 
 
-def shingle_sets(column: pa.Array, size: int, letters: Alphabet = SPACE_LOWER) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its shingles; a text of fewer words, but not none, is one shingle."""
-    words = split_words(column, letters)
-    hashed = _hashed(words)
-    whole = _runs(hashed, size)
+def range_sets(hashed: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> list[np.ndarray]:
+    """For each range of words the sorted distinct hashes of its shingles; a range of fewer words, but not none, is one shingle."""
+    whole = runs_of(hashed, size)
     out = []
-    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         if b - a >= size:
             out.append(np.unique(whole[a : b - size + 1]))
         elif b > a:
@@ -63,6 +61,12 @@ def shingle_sets(column: pa.Array, size: int, letters: Alphabet = SPACE_LOWER) -
     return out
 
 
+def shingle_sets(column: pa.Array, size: int, letters: Alphabet = SPACE_LOWER) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles; a text of fewer words, but not none, is one shingle."""
+    words = split_words(column, letters)
+    return range_sets(_hashed(words), words.first[:-1], words.first[1:], size)
+
+
 def signatures(sets: list[np.ndarray], permutations: int) -> np.ndarray:
     """One row of ``2 * permutations`` uint32 for each non-empty set: of every hash function both the least and the greatest value.
 
@@ -80,16 +84,6 @@ def signatures(sets: list[np.ndarray], permutations: int) -> np.ndarray:
     return out
 
 
-def signatures_of_rows(sets: np.ndarray, permutations: int) -> np.ndarray:
-    """As ``signatures``, of sets of equal length that may repeat elements, one in each row."""
-    out = np.empty((len(sets), 2 * permutations), np.uint32)
-    for i in range(permutations):
-        v = ((sets * _FACTORS[i] + _SHIFTS[i]) >> np.uint64(32)).astype(np.uint32)
-        v.min(axis=1, out=out[:, 2 * i])
-        v.max(axis=1, out=out[:, 2 * i + 1])
-    return out
-
-
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """int64 (n, bands): a hash of each band's values and its number."""
     wide = signature[:, : bands * rows].astype(np.uint64).reshape(len(signature), bands, rows)

@@ -12,7 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 #: Bytes of an Arrow batch on its way to or from a Python worker, unless the session sets its own; a longer row is a batch by itself.
@@ -106,3 +108,35 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
         pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(bounded, schema)
+
+
+def pack_texts(docs: DataFrame) -> DataFrame:
+    """``docs (id, text)`` with the text compressed (``packed``), for shuffles; null texts are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array((press.compress(x.as_buffer()) for x in batch.column("text")), pa.binary())], ["id", "packed"])
+
+    return map_batches(docs.select("id", "text").where(F.col("text").isNotNull()), run, "id bigint, packed binary")
+
+
+def unpack_texts(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches with ``packed`` as batches of about ``most`` bytes with ``text`` instead; a longer text is a batch by itself."""
+    plain = zstandard.ZstdDecompressor()
+    for batch in batches:
+        others = batch.drop_columns("packed")
+        texts, size, at = [], 0, 0
+        for i, x in enumerate(batch.column("packed"), 1):
+            texts.append(plain.decompress(x.as_buffer()))
+            size += len(texts[-1])
+            if size >= most or i == batch.num_rows:
+                yield others.slice(at, i - at).append_column("text", pa.array(texts, pa.binary()).cast(pa.string()))
+                texts, size, at = [], 0, i
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that starts like this and that ``df`` does not have, nor one that it starts."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    return name

@@ -2,12 +2,11 @@ import random
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from logweave.llm.paragraphs import _buckets, chosen, repeated_paragraphs, repeated_passages, without_passages, without_repeats
-from logweave.llm.shingles import shingle_hashes
-from logweave.llm.words import SPACE_LOWER, split_words
+from logweave.llm import paragraphs
+from logweave.llm.paragraphs import chosen, repeated_paragraphs, repeated_passages, without_passages, without_repeats
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -16,18 +15,28 @@ def words_of(text):
     return (text or "").translate(LOW).split()
 
 
-def brute(docs):
-    """The rows by definition: every 26 starts in a row, every pair of paragraphs."""
+def shingles(words):
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def by_definition(docs):
+    """{(doc_id, first word): (number of words, shingles)}: lines of 20 words or more, and whole texts of fewer."""
     found = {}
     for i, text in docs:
-        words = words_of(text)
-        hashes = shingle_hashes(split_words(pa.array([" ".join(words)]), SPACE_LOWER), 5).tolist()
-        starts = range(len(words) - 24)
-        for low in range(max(1, len(starts) - 25) if len(starts) else 0):
-            ranked = [(hashes[p], p) for p in starts[low : low + 26] if p == 0 or hashes[p] != hashes[p - 1]]
-            if ranked:
-                p = min(ranked)[1]
-                found[i, p] = {tuple(words[p + k : p + k + 5]) for k in range(21)}
+        words, at = words_of(text), 0
+        if 0 < len(words) < 20:
+            found[i, 0] = len(words), shingles(words)
+        for line in (text or "").split("\n"):
+            n = len(words_of(line))
+            if n >= 20:
+                found[i, at] = n, shingles(words_of(line))
+            at += n
+    return found
+
+
+def brute(docs):
+    """The rows by definition, over every pair of paragraphs."""
+    found = by_definition(docs)
     root = {x: x for x in found}
 
     def top(x):
@@ -35,12 +44,18 @@ def brute(docs):
             x = root[x]
         return x
 
-    for a, b in combinations(sorted(found), 2):
-        if (a[0] != b[0] or b[1] - a[1] >= 25) and 100 * len(found[a] & found[b]) >= 80 * len(found[a] | found[b]):
+    holders, pairs = {}, set()
+    for x, (_, s) in sorted(found.items()):
+        for g in s:
+            holders.setdefault(g, []).append(x)
+    for h in holders.values():
+        pairs.update(combinations(h, 2))
+    for a, b in pairs:
+        if 100 * len(found[a][1] & found[b][1]) >= 80 * len(found[a][1] | found[b][1]):
             x, y = sorted((top(a), top(b)))
             root[y] = x
     tops = [top(x) for x in found]
-    return {(*x, 25, *top(x), x[0] == top(x)[0] and x[1] < top(x)[1] + 25) for x in found if tops.count(top(x)) > 1}
+    return {(*x, found[x][0], *top(x), x == top(x)) for x in found if tops.count(top(x)) > 1}
 
 
 def prose(seed, n):
@@ -57,21 +72,43 @@ def docs():
         (7, join(prose(4, 33)) + " " + join(shared) + "\n" + join(prose(5, 8))), (2, join(prose(6, 70)) + " " + join(shared[:20]).upper() + "\n\t" + join(shared[20:]) + " " + join(prose(7, 40))),
         (3, join(other)), (8, join(other)), (8, join(other)), (4, None), (5, ""), (None, join(other)), (6, join(near)), (9, join(prose(8, 5) + changed + prose(9, 60))), (10, join(prose(10, 400))),
         (11, join(prose(11, 24))), (12, join(prose(11, 24))), (13, "heat " * 400), (14, join(prose(12, 3) + prose(13, 60) + prose(14, 30) + prose(13, 60))), (15, join(prose(15, 9000) + shared[:10])),
+        (16, join(prose(16, 18))), (17, "\n".join(prose(16, 18)).upper()), (18, "one"), (-5, join(prose(17, 21)) + "\n" + join(prose(18, 30))), (2**40, join(prose(18, 31))),
     ]
 
 
 def test_rows(spark, docs):
-    df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 AS id", "2 AS k1", "'x' AS key")
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 AS id", "2 AS k", "'x' AS packed")
     rows = [tuple(r) for r in repeated_paragraphs(df).collect()]
     assert len(rows) == len(set(rows)) and set(rows) == brute({(i, t) for i, t in docs if i is not None})
-    assert {r[0] for r in rows} == {2, 3, 6, 7, 8, 9, 14}
-    assert repeated_paragraphs(df.limit(0)).collect() == []
+    assert {r[0] for r in rows} == {3, 8, 11, 12, 16, 17, -5, 2**40}
+    assert repeated_paragraphs(df.limit(0)).collect() == [] and repeated_passages(df.limit(0)).collect() == []
+
+
+def test_table(spark):
+    t = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    rows = {tuple(r) for r in repeated_paragraphs(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
+    assert rows == brute([(r["doc_id"], r["text"]) for r in t]) and len(rows) > 20
+
+
+@pytest.mark.parametrize("changed", [1, 2])
+def test_recall_over_all_pairs_of_paragraphs(spark, changed):
+    """Lines of 60 words with one of them changed and of 105 with two, most at 0.81 to 0.85, every one against every other."""
+    docs, r = [], random.Random(changed)
+    for i in range(400):
+        line = prose(5000 + i, 15 + 45 * changed)
+        other = list(line)
+        for k in r.sample(range(len(line)), changed):
+            other[k] = f"x{i}"
+        docs += [(2 * i, " ".join(prose(7000 + i, 30)) + "\n" + " ".join(line)), (2 * i + 1, " ".join(other) + "\n" + " ".join(prose(9000 + i, 25)))]
+    expected = {x[:2] for x in brute(docs)}
+    found = {(r.doc_id, r.first_word) for r in repeated_paragraphs(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert found <= expected and len(found) >= 0.99 * len(expected) > 300
 
 
 def test_every_passage_of_50_words_is_found(spark):
     passage = prose(20, 50)
     docs = [(i, " ".join(prose(100 + i, 7 * i % 90) + passage + prose(300 + i, 11 * i % 70))) for i in range(60)] + [(i, " ".join(prose(500 + i, 150))) for i in range(60, 100)]
-    found = repeated_paragraphs(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    found = repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert {r.doc_id for r in found} == set(range(60)) and all(any(r.doc_id == i and r.keep_doc_id == 0 for r in found) for i in range(60))
 
 
@@ -79,42 +116,15 @@ def test_without_repeats(spark, docs):
     df = spark.createDataFrame(list(dict.fromkeys(docs)), "doc_id bigint, text string")
     text = {r.doc_id: r.text for r in without_repeats(df).collect() if r.doc_id is not None}
     given = dict(docs)
-    assert all(text[i] == given[i] for i in (2, 3, 4, 5, 6, 10, 11, 12, 13, 15))
-    assert len(words_of(text[8])) < 50 and len(words_of(text[7])) <= 33 + 8 + 25
-    kept = words_of(text[7])
-    assert kept[:33] == prose(4, 33) and text[7].endswith("\n" + " ".join(prose(5, 8)))
+    assert all(text[i] == given[i] for i in given if i not in (8, 12, 17, 2**40, None))
+    assert text[8] == text[12] == text[17] == text[2**40] == ""
 
 
 def test_places_are_chosen_alike_in_any_portions(monkeypatch):
     hashes = np.random.default_rng(1).integers(0, 40, 700).astype(np.uint64)
-    whole = chosen(hashes).tolist()
+    whole = chosen(hashes, 25, 26).tolist()
     monkeypatch.setattr("logweave.llm.paragraphs.PLACES", 7)
-    assert chosen(hashes).tolist() == whole and len(whole) > 30
-
-
-def test_pairs_near_the_threshold_are_found(spark):
-    """Paragraphs of 25 words of which the two outer words of one end differ, at similarity 19 / 23."""
-    docs = []
-    for i in range(300):
-        text = prose(1000 + i, 25)
-        docs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text[:23], "x", f"y{i}"]))]
-    found = {r.doc_id for r in repeated_paragraphs(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
-    assert len(found) >= 0.99 * len(docs)
-
-
-def test_buckets(spark):
-    r = random.Random(5)
-    rows = [(i, [r.randrange(400), 1000 + r.randrange(3), 2000 + i]) for i in range(500)]
-    given = {}
-    for i, bands in rows:
-        for band, key in enumerate(bands):
-            given.setdefault((band, key), []).append(i)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        found = [tuple(x) for x in _buckets(spark.createDataFrame(rows, "id bigint, bands array<bigint>")).select("band", "key", "id", "hub", "m").collect()]
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert sorted(found) == sorted((*k, i, min(ids), min(len(ids), 3)) for k, ids in given.items() if len(ids) > 1 for i in ids)
+    assert chosen(hashes, 25, 26).tolist() == whole and len(whole) > 30
 
 
 def short_docs():
@@ -163,3 +173,27 @@ def test_whole_repetitions_are_removed(spark):
     for i, t in text.items():  # nothing of a repetition stays; beyond it near-equal paragraphs take up to two words at each end
         rest = iter(left[i])
         assert all(w in rest for w in words_of(t)) and len(left[i]) - len(words_of(t)) <= 4
+
+
+@pytest.mark.parametrize("hot", [1, 1 << 30])
+def test_repeated_words_of_the_table_and_of_frequent_passages(spark, monkeypatch, hot):
+    """Against every run of 20 words; with every seed frequent, and with none."""
+    monkeypatch.setattr(paragraphs, "HOT", hot)
+    t = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    common = prose(3000, 27)
+    docs = [(r["doc_id"], r["text"]) for r in t] + [(10**6 + i, " ".join(prose(3100 + i, 5 + i % 9) + common[i % 3 :] + prose(3300 + i, 6)) + "\n" + " ".join(common)) for i in range(60)]
+    docs += [(10**7, "heat " * 300 + " ".join(common)), (10**7 + 1, "a\n" + "heat " * 90 + "\nb c " * 25), (-3, " ".join(common))]
+    if hot > 1:
+        monkeypatch.setattr(paragraphs, "LEAST_HOT", 0)
+    rows = repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).where("not near").collect()
+    assert {(r.doc_id, w) for r in rows if not r.kept for w in range(r.first_word, r.first_word + r.n_words)} == repeated_words(docs)
+    words = {i: words_of(t) for i, t in docs}
+    for r in rows:
+        assert words[r.doc_id][r.first_word : r.first_word + r.n_words] == words[r.keep_doc_id][r.keep_first_word : r.keep_first_word + r.n_words]
+
+
+def test_one_id_with_several_texts(spark):
+    line = " ".join(prose(4000, 30))
+    docs = [(1, line), (5, line), (5, " ".join(prose(4001, 12)) + " " + line), (7, " ".join(prose(4002, 40)))]
+    rows = repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).where("not near").collect()
+    assert {(r.doc_id, r.first_word, r.n_words, r.kept) for r in rows} == {(1, 0, 30, True), (5, 0, 30, False), (5, 12, 30, False)}
