@@ -1,50 +1,46 @@
-"""The corpus pipeline: documents to packed training sequences in five stages, each over all that its predecessor kept."""
+"""The corpus pipeline: documents to packed training sequences in five stages, each over all that its predecessor kept.
 
-from __future__ import annotations
+Every stage but the last returns the columns of its documents. Rows are taken as they come: null ids and texts, ids that stand
+with several texts, repeated rows, empty tables and columns of any further name have a defined result, stated at each stage.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logweave.llm import classify, decontaminate, exact, near_dup, packing
-from logweave.plans.materialize import shared_dir
+from logweave.plans.materialize import fresh_folder, release
 
 #: A document of which the benchmark covers more than this share of the words goes; from others only the spans go.
 MOST_COVERED = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts. Every row is judged by its text alone, a null one as an empty one; repeated rows all stay or go."""
     return classify.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the smallest doc_id."""
-    kept = exact.exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Of documents with equal texts the one with the smallest doc_id, one row of it; null texts are empty ones, and a null id stays only where there is no other."""
+    return exact.deduplicated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, its smallest doc_id; five-word shingles, similarity 0.8."""
-    found = near_dup.near_duplicates(docs.select(F.col("doc_id").alias("id"), "text"))
-    kept = found.where(F.col("id").eqNullSafe(F.col("component_id")) | F.col("id").isNull()).select("id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
+    """One document of each near-duplicate group, its smallest doc_id; five-word shingles, similarity 0.8.
+
+    Repeated rows leave one. Documents without an id, or with one that other texts have too, take part and count as larger
+    than all others. Null and wordless texts stay, one row of each id.
+    """
+    return near_dup.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the spans that the benchmark has, and without the documents that it mostly covers."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("clean_text").alias("hit_text"), (F.col("n_hit") > MOST_COVERED * F.col("n_words")).alias("hit_most"))
-    rows = docs.join(hit.dropDuplicates(["hit_id"]), docs["doc_id"] == hit["hit_id"], "left").where("hit_most is null or not hit_most")
-    text = F.when(F.col("hit_id").isNull(), F.col("text")).otherwise(F.col("hit_text"))
-    chars = F.when(F.col("hit_id").isNull(), F.col("n_chars")).otherwise(F.char_length("hit_text")).cast(docs.schema["n_chars"].dataType)
-    new = {"text": text, "n_chars": chars}
-    return rows.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
+    """Documents without the spans that the benchmark has, and without the documents that it mostly covers. Row by row: ids do not matter, null texts stay."""
+    return decontaminate.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), MOST_COVERED)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences with the mixture of the sources."""
+    """Pieces of training sequences with the mixture of the sources; null texts are empty documents, a null source is a source, repeated rows are packed each."""
     return packing.pack(docs)
 
 
@@ -56,8 +52,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each stage's rows written and read again before the next."""
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), fresh_folder(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        release(spark)
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
