@@ -30,6 +30,9 @@ def parse_arguments(args: list[str]) -> tuple[str, list[str]]:
 
 
 def main(args: list[str], spark=None) -> int:
+    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
+
     from logweave.operators.ordering import LogOrderError, merge_files, sort_files
 
     commands = {"merge": merge_files, "sort": sort_files}
@@ -50,8 +53,8 @@ def main(args: list[str], spark=None) -> int:
         spark = new_session("logweave")
     try:
         commands[name](spark, inputs, output)
-    except (LogOrderError, OSError) as e:
-        print(f"{program}: {e}", file=sys.stderr)
+    except (LogOrderError, OSError, PySparkException, Py4JError, ValueError) as e:
+        print(f"{program}: {str(e).splitlines()[0] if str(e) else type(e).__name__}", file=sys.stderr)
         return 1
     return 0
 

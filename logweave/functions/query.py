@@ -13,7 +13,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELD_NAME = re.compile(r"[@A-Za-z_][@A-Za-z0-9_.]*")
@@ -168,6 +168,44 @@ def compile_predicate(node: Node | None, value: Column | None = None, entry: Col
     return balanced(parts, (lambda a, b: a & b) if isinstance(node, And) else (lambda a, b: a | b))
 
 
+def possible(node: Node | None, value: Column | None = None) -> Column:
+    """True for every line that can match, at the cost of a byte search: a filter to put before the lines are parsed.
+
+    A field's text stands in its line as it is, unless the line has an escape, or the text is the canonical form of something
+    written otherwise: a float, an integer too large for one, an array or an object.
+    """
+    value = F.col("value") if value is None else value
+    if isinstance(node, Substring):
+        return compile_predicate(node, value)
+    if isinstance(node, Field):
+        verbatim = F.contains(value, F.lit(node.name))
+        if not _REWRITTEN.match(node.value):
+            verbatim &= F.contains(value, F.lit(node.value))
+        return F.coalesce(F.contains(value, F.lit("{")) & (verbatim | F.contains(value, F.lit("\\"))), F.lit(False))
+    if node is None:
+        return F.lit(True)
+    return balanced([possible(c, value) for c in node.children], (lambda a, b: a & b) if isinstance(node, And) else (lambda a, b: a | b))
+
+
+#: Texts of floats, arrays and objects.
+_REWRITTEN = re.compile(r"-?[0-9]*[.eE][0-9]|-?[0-9]+[eE.]|[\[{]")
+
+
+def has_fields(node: Node | None) -> bool:
+    if isinstance(node, (And, Or)):
+        return any(map(has_fields, node.children))
+    return isinstance(node, Field)
+
+
+def filter_lines(df: DataFrame, node: Node | None) -> DataFrame:
+    """The lines of ``df (value, ...)`` that match, ``entry`` added where fields decide; only lines that can match are parsed."""
+    from logweave.sources.lines import classify
+
+    if not has_fields(node):
+        return df.where(compile_predicate(node, entry=F.lit(None)))
+    return classify(df.where(possible(node))).where(compile_predicate(node))
+
+
 def balanced(parts: list[Column], op) -> Column:
     """Reduces as a tree of logarithmic depth: long lists keep Catalyst's recursion shallow."""
     while len(parts) > 2:

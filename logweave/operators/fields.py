@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +70,37 @@ def row_mapping(df: DataFrame) -> DataFrame:
     return number_rows(df, ["line_no"], "row", 0)
 
 
+#: Rows that a task may hold to find a page among the first ones, and ranges of line numbers that are counted for a later one.
+NEAR_ROWS, RANGES = 1 << 16, 4096
+
+
 def page(df: DataFrame, offset: int, limit: int) -> DataFrame:
+    """``limit`` rows in line order after the first ``offset``.
+
+    Far from the start the rows are counted by ranges of line numbers, finer each time, until the page's own range is small;
+    so no task gathers what stands before the page.
+    """
+    low, high = None, None
+    while offset + limit > NEAR_ROWS:
+        own = df if low is None else df.where(F.col("line_no").between(low, high))
+        if low is None:
+            low, high = own.agg(F.min("line_no"), F.max("line_no")).first()
+            if low is None:
+                return df.limit(0)
+        step = -(-(high - low + 1) // RANGES)
+        counts = own.groupBy(F.floor((F.col("line_no") - low) / step).cast("bigint").alias("range")).count().orderBy("range").collect()  # RANGES rows at most
+        ends = list(accumulate(r["count"] for r in counts))
+        first = bisect_right(ends, offset)
+        if first == len(counts):
+            return df.limit(0)
+        before = ends[first] - counts[first]["count"]
+        last = min(bisect_left(ends, offset + limit), len(counts) - 1)
+        narrower = low + counts[first]["range"] * step, min(high, low + (counts[last]["range"] + 1) * step - 1)
+        if narrower == (low, high):
+            break
+        offset, (low, high) = offset - before, narrower
+    if low is not None:
+        df = df.where(F.col("line_no").between(low, high))
     return df.orderBy("line_no").offset(offset).limit(limit)
 
 

@@ -16,9 +16,13 @@ from pyspark.sql.window import Window as W
 
 from logweave.functions.jsontext import TIMESTAMP, canonical_json
 from logweave.plans.materialize import materialize
+from logweave.sources.files import file_size
 from logweave.sources.lines import read_log
+from logweave.sources.sink import output_collides, write_lines
 
 CHUNK_LINES = 1 << 19
+#: Rows of the table of chunks that may be broadcast; that many stand for 5e11 lines.
+BROADCAST_CHUNKS = 1_000_000
 
 
 @dataclass
@@ -48,7 +52,7 @@ def prepare(df: DataFrame, stamp: bool = False, system: Column | None = None) ->
 
 def with_neighbours(df: DataFrame, chunk_lines: int = CHUNK_LINES, order: tuple[str, ...] = ("line_no",)) -> DataFrame:
     """Adds ``prev_ts`` (last timestamp strictly before), ``next_ts`` (this or next) and ``last_ts`` of the input."""
-    df = materialize(df.withColumn("chunk", F.floor(F.col(order[0]) / chunk_lines)))  # read three times below
+    df = df.withColumn("chunk", F.floor(F.col(order[0]) / chunk_lines))
     # A frame that only grows is updated row by row; one open to the end is recomputed for every row, so "next" looks back in falling order.
     inside = W.partitionBy("input_index", "chunk").orderBy(*order)
     falling = W.partitionBy("input_index", "chunk").orderBy(*(F.desc(c) for c in order))
@@ -57,6 +61,7 @@ def with_neighbours(df: DataFrame, chunk_lines: int = CHUNK_LINES, order: tuple[
         F.last("ts", True).over(inside.rowsBetween(W.unboundedPreceding, -1)).alias("p"),
         F.last("ts", True).over(falling.rowsBetween(W.unboundedPreceding, 0)).alias("n"),
     )
+    df = materialize(df)  # after its one shuffle; read three times below
     key = F.struct(*order)
     ends = df.where(F.col("ts").isNotNull()).groupBy("input_index", "chunk").agg(F.min_by("ts", key).alias("head"), F.max_by("ts", key).alias("tail"))
     every = df.select("input_index", "chunk").distinct().join(ends, ["input_index", "chunk"], "left")
@@ -67,6 +72,9 @@ def with_neighbours(df: DataFrame, chunk_lines: int = CHUNK_LINES, order: tuple[
         F.last("head", True).over(W.partitionBy("input_index").orderBy(F.desc("chunk")).rowsBetween(W.unboundedPreceding, -1)).alias("cn"),
         F.last("tail", True).over(across.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("last_ts"),
     )
+    every = materialize(every)
+    if every.count() <= BROADCAST_CHUNKS:
+        every = F.broadcast(every)
     return df.join(every, ["input_index", "chunk"]).select(
         *[c for c in df.columns if c not in ("p", "n", "chunk")], F.coalesce("p", "cp").alias("prev_ts"), F.coalesce("n", "cn").alias("next_ts"), "last_ts"
     )
@@ -84,15 +92,14 @@ def sort_key(order: tuple[str, ...] = ("line_no",)) -> list[Column]:
 
 
 def number_rows(df: DataFrame, keys: list, name: str, first: int = 1) -> DataFrame:
-    """Global positions in key order: range partitions, a count per partition, then a local row number plus an offset.
-
-    Range bounds come from a sample, so the partitions are stored before they are read twice.
-    """
-    ranged = materialize(df.repartitionByRange(*keys).select("*", F.spark_partition_id().alias("part")))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    base = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    local = ranged.withColumn("local", F.row_number().over(W.partitionBy("part").orderBy(*keys)))
-    return local.join(base, "part").select(*df.columns, (F.col("base") + F.col("local") - 1 + first).cast("long").alias(name))
+    """Global positions in key order: one range shuffle, sorted partitions stored, and a place in each plus the rows before it."""
+    ranged = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    place = ranged.withColumn("place", F.monotonically_increasing_id())  # the partition's number and the row's place in it
+    part = F.shiftright("place", 33)
+    counts = place.groupBy(part.alias("part")).count()
+    base = counts.select("part", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    rows = place.join(F.broadcast(base), part == base["part"])  # a row for each partition
+    return rows.select(*df.columns, (F.col("base") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + first).alias(name))
 
 
 def violations(df: DataFrame, ordered: bool) -> DataFrame:
@@ -119,21 +126,18 @@ def first_violation(df: DataFrame, ordered: bool) -> LogOrderError | None:
     return LogOrderError(row[0]["file"], row[0]["line_no"], row[0]["reason"]) if row else None
 
 
-def _require_files(paths: list[str]) -> None:
+def _require_files(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
         try:
-            with open(p, "rb"):
-                pass
+            file_size(spark, p)
         except OSError as e:
-            raise LogOrderError(p, 0, e.strerror or str(e)) from e
+            raise LogOrderError(p, 0, str(e).removeprefix(f"{p}: ")) from e
 
 
 def _run(spark: SparkSession, inputs: list[str], output: str, merge: bool) -> int:
-    from logweave.sources.sink import output_collides, write_lines
-
-    if (clash := output_collides(inputs, output)) is not None:
+    if (clash := output_collides(spark, inputs, output)) is not None:
         raise LogOrderError(output, 0, f"output is also input {clash}")
-    _require_files(inputs)
+    _require_files(spark, inputs)
     lines = with_neighbours(prepare(read_log(spark, *inputs), stamp=merge))
     if (bad := first_violation(lines, ordered=merge)) is not None:
         raise bad

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import tempfile
+import threading
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from logweave.functions import jsontext
 from logweave.functions.query import QuerySyntaxError, compile_predicate, filter_term, parse
 from logweave.operators import fields as fl
+from logweave.sources.files import file_size
 from logweave.sources.lines import classify, read_log
 
 MODIFIERS = ("ctrl", "alt", "shift", "command")
@@ -79,16 +83,32 @@ class Tab:
         self.selected_line: int | None = None
         self._predicate = compile_predicate(None)
         self._edited = 0.0
+        self._lock, self._tags = threading.Lock(), set()
         self._load()
         self.columns = fl.choose_columns(self.fields, saved)
 
     def _load(self) -> None:
-        if not os.path.isfile(self.path):
-            raise FileNotFoundError(self.path)
-        with open(self.path, "rb"):
-            pass
+        try:
+            file_size(self.spark, self.path)
+        except OSError as e:
+            raise FileNotFoundError(self.path) from e
         self.lines = classify(read_log(self.spark, self.path)).persist()
-        self.fields = [r[0] for r in fl.discover_fields(self.lines).collect()]  # field names, not rows
+        with self.running():
+            self.fields = [r[0] for r in fl.discover_fields(self.lines).collect()]  # field names, not rows
+
+    @contextlib.contextmanager
+    def running(self) -> Iterator[None]:
+        """Jobs that this thread starts inside belong to the tab, and ``cancel`` ends them."""
+        own = f"{self.tag}-{uuid.uuid4()}"
+        with self._lock:
+            self._tags.add(own)
+        self.spark.sparkContext.addJobTag(own)
+        try:
+            yield
+        finally:
+            self.spark.sparkContext.removeJobTag(own)
+            with self._lock:
+                self._tags.discard(own)
 
     @property
     def label(self) -> str:
@@ -102,6 +122,7 @@ class Tab:
         text = self.query.strip()
         if text == self.applied and not force or not force and time.monotonic() - self._edited < DEBOUNCE_S:
             return False
+        self.cancel()  # a scan for the query before has nothing left to tell
         try:
             self._predicate, self.error = compile_predicate(parse(text)), None
         except QuerySyntaxError as e:  # an invalid query shows all rows
@@ -122,11 +143,13 @@ class Tab:
         return self.lines.where(self._predicate)
 
     def counts(self) -> tuple[int, int]:
-        row = fl.shown_total(self.lines, self._predicate).first()
+        with self.running():
+            row = fl.shown_total(self.lines, self._predicate).first()
         return row["shown"], row["total"]
 
     def page(self, offset: int, limit: int) -> list:
-        return fl.project(fl.page(self.rows, offset, limit), self.columns).orderBy("line_no").collect()
+        with self.running():
+            return fl.project(fl.page(self.rows, offset, limit), self.columns).orderBy("line_no").collect()
 
     def listed_fields(self) -> list[str]:
         return [f for f in self.fields if self.field_filter.strip().lower() in f.lower()]
@@ -136,7 +159,8 @@ class Tab:
 
     def detail(self) -> str | None:
         """Pretty JSON of the selected entry, or the raw text; cut after a fixed number of characters."""
-        row = self.lines.where(F.col("line_no") == self.selected_line).select(F.make_valid_utf8("value")).first()
+        with self.running():
+            row = self.lines.where(F.col("line_no") == self.selected_line).select(F.make_valid_utf8("value")).first()
         if row is None:
             return None
         entry = jsontext.parse_object(row[0])
@@ -145,7 +169,8 @@ class Tab:
 
     def filter_by_cell(self, line_no: int, name: str) -> bool:
         """Replaces the query by the term of one cell; raw lines, missing fields and unsayable values do nothing."""
-        row = self.lines.where(F.col("line_no") == line_no).select("value").first()
+        with self.running():
+            row = self.lines.where(F.col("line_no") == line_no).select("value").first()
         entry = jsontext.parse_object(row[0]) if row else None
         term = filter_term(name, jsontext.value_text(entry[name])) if entry and name in entry else None
         if term is None:
@@ -154,15 +179,22 @@ class Tab:
         return True
 
     def reload(self) -> None:
-        with open(self.path, "rb"):  # a file that is gone leaves the tab as it was
-            pass
+        try:
+            file_size(self.spark, self.path)
+        except OSError as e:  # a file that is gone leaves the tab as it was
+            raise FileNotFoundError(self.path) from e
+        self.cancel()
         self.lines.unpersist()  # else the same plan would be answered from the old contents
         self._load()
         self.selected_line = None
         self.poll(force=True)
 
     def cancel(self) -> None:
-        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+        """Ends the tab's running jobs, whichever threads started them; later ones are not touched."""
+        with self._lock:
+            tags = [*self._tags]
+        for tag in tags:
+            self.spark.sparkContext.cancelJobsWithTag(tag)
 
     def close(self) -> None:
         self.cancel()

@@ -6,24 +6,26 @@ adds ``entry map<string,string>``, NULL for a raw line.
 
 from __future__ import annotations
 
-import os
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from logweave.sources.files import file_size, last_byte, uri
+
 LINE = T.StructType([
     T.StructField("input_index", T.IntegerType()), T.StructField("file", T.StringType()),
     T.StructField("line_no", T.LongType()), T.StructField("value", T.StringType()),
 ])
-#: Files that Spark's listing skips or decompresses by name are read whole on the driver, up to this size.
-DRIVER_READ_BYTES = 256 << 20
-_SPECIAL_NAME = re.compile(r"^[_.]|\.(gz|bz2|zst|lz4|snappy|deflate)$")
-_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
-_MAP = "map<string,string>"
+#: Names that Spark's listing skips or decompresses; such files are read by byte ranges instead.
+_SPECIAL_NAME = re.compile(r"(^|/)[_.][^/]*$|\.(gz|bz2|zst|lz4|snappy|deflate)$")
+RANGE_BYTES, _READ, _BATCH = 64 << 20, 1 << 20, 4 << 20
 
 
 def escape_glob(path: str) -> str:
@@ -37,60 +39,98 @@ def strip_cr(value: Column) -> Column:
 
 
 def read_log(spark: SparkSession, *paths: str) -> DataFrame:
-    """Lines of the files in the order given; the same path twice counts twice."""
+    """Lines of the files in the order given; the same path twice counts twice.
+
+    A carriage return goes only together with the line feed after it: an unterminated last line keeps its own.
+    """
     parts = [_read_one(spark, p, i) for i, p in enumerate(paths)]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], LINE)
 
 
 def _read_one(spark: SparkSession, path: str, index: int) -> DataFrame:
-    if _SPECIAL_NAME.search(os.path.basename(path)):
-        return _read_on_driver(spark, path, index)
-    lines = spark.read.option("lineSep", "\n").text(escape_glob(path)).select(
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value"
-    )
+    if _SPECIAL_NAME.search(path):
+        lines = _by_ranges(spark, path)
+    else:
+        lines = spark.read.option("lineSep", "\n").text(escape_glob(path)).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
     # Two passes and no shuffle of text: ids run on within a block, so a block needs only its first id and the lines before it.
     blocks = lines.groupBy("block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select("block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return lines.join(blocks, "block").select(
-        F.lit(index).alias("input_index"), F.lit(path).alias("file"),
-        (F.col("base") + F.col("id") - F.col("first") + 1).alias("line_no"), strip_cr(F.col("value")).alias("value"),
-    )
-
-
-def _read_on_driver(spark: SparkSession, path: str, index: int) -> DataFrame:
-    if os.path.getsize(path) > DRIVER_READ_BYTES:
-        raise ValueError(f"{path}: a hidden or compressed name over {DRIVER_READ_BYTES} bytes; rename the file")
-    with open(path, "rb") as f:
-        data = f.read()
-    lines = data.split(b"\n")
-    if not lines[-1]:
-        lines.pop()
-    rows = [(index, path, i, bytearray(x)) for i, x in enumerate(lines, 1)]
-    df = spark.createDataFrame(rows, "input_index int, file string, line_no bigint, raw binary")
-    return df.select("input_index", "file", "line_no", strip_cr(F.col("raw").cast("string")).alias("value"))
+    blocks = blocks.select("block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(W.partitionBy()).alias("total"))
+    line_no = F.col("base") + F.col("id") - F.col("first") + 1
+    value = strip_cr(F.col("value"))
+    if last_byte(spark, path) == 13:
+        value = F.when(line_no == F.col("total"), F.col("value")).otherwise(value)
+    rows = lines.join(F.broadcast(blocks), "block")  # a row for each split of the file
+    return rows.select(F.lit(index).alias("input_index"), F.lit(path).alias("file"), line_no.alias("line_no"), value.alias("value"))
+
+
+def lines_in(f, start: int, end: int) -> Iterator[bytes]:
+    """The lines that begin in [start, end) of an open file, without their line feeds; the last may reach beyond."""
+    at = max(start - 1, 0)
+    f.seek(at)
+    begun: list[bytes] | None = [] if start == 0 else None  # of the line under way; None up to the line feed that ends the one before
+    while data := f.read(_READ):
+        first, *others = data.split(b"\n")
+        if begun is not None:
+            begun.append(first)
+        if others:
+            if begun is not None:
+                line = b"".join(begun)
+                yield line
+                at += len(line) + 1
+            else:
+                at += len(first) + 1
+            for line in others[:-1]:
+                if at >= end:
+                    return
+                yield line
+                at += len(line) + 1
+            begun = [others[-1]]
+            if at >= end:
+                return
+        elif begun is None:
+            at += len(first)
+    if begun and at < end and (line := b"".join(begun)):
+        yield line
+
+
+def _by_ranges(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """``(block, id, value)`` of a file whatever its name: tasks read byte ranges and own the lines that begin inside."""
+    size, step, name = file_size(spark, path), range_bytes or RANGE_BYTES, uri(spark, path)
+    n = -(-size // step)
+    starts = spark.range(n).select((F.col("id") * step).alias("block")).repartition(max(1, n), "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, where = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+        for batch in batches:
+            for start in batch.column("block").to_pylist():
+                with fs.open_input_file(where) as f:
+                    held, held_bytes, done = [], 0, 0
+
+                    def rows() -> pa.RecordBatch:
+                        return pa.RecordBatch.from_arrays([pa.array([start] * len(held), pa.int64()), pa.array(range(done, done + len(held)), pa.int64()), pa.array(held, pa.binary())], ["block", "id", "value"])  # noqa: B023
+
+                    for line in lines_in(f, start, start + step):
+                        held.append(line)
+                        held_bytes += len(line)
+                        if held_bytes >= _BATCH or len(held) >= 10_000:
+                            yield rows()
+                            done, held, held_bytes = done + len(held), [], 0
+                    yield rows()
+
+    return starts.mapInArrow(run, "block bigint, id bigint, value binary").withColumn("value", F.col("value").cast("string"))
 
 
 def split_text(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Lines of a multi-line column: ``keep`` columns, position ``pos`` (from 0) and ``value``. NULL text has no lines."""
-    return df.select(*keep, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "raw")).select(*keep, "pos", strip_cr(F.col("raw")).alias("value"))
-
-
-def entry_map(value: Column) -> Column:
-    """Field map of a line that is exactly one JSON object, else NULL.
-
-    One lenient parse accepts trailing text; three embeddings of the line accept it only when the line is an object by itself.
-    """
-    as_map = F.from_json(value, _MAP, _STRICT)
-    in_array = F.from_json(F.concat(F.lit("["), value, F.lit("]")), f"array<{_MAP}>", _STRICT)
-    in_field = F.from_json(F.concat(F.lit('{"w":'), value, F.lit("}")), f"struct<w:{_MAP}>", _STRICT)
-    alone = in_array.isNotNull() & (F.size(in_array) == 1) & F.element_at(in_array, 1).isNotNull() & in_field["w"].isNotNull()
-    looks = F.is_valid_utf8(value) & F.contains(value, F.lit("{"))
-    return F.when(looks, F.when(alone, as_map))
+    """Lines of a multi-line column: ``keep`` columns, position ``pos`` (from 0) and ``value``. NULL text has no lines; the last one has no terminator."""
+    lines = F.split(F.col(text), "\n")
+    rows = df.select(*keep, F.size(lines).alias("n_lines"), F.posexplode(lines).alias("pos", "raw"))
+    return rows.select(*keep, "pos", F.when(F.col("pos") + 1 == F.col("n_lines"), F.col("raw")).otherwise(strip_cr(F.col("raw"))).alias("value"))
 
 
-def classify(df: DataFrame, exact_text: bool = False) -> DataFrame:
-    """Adds ``entry``. ``exact_text`` renders numbers and nested values through the Arrow path instead of Catalyst."""
+def classify(df: DataFrame) -> DataFrame:
+    """Adds ``entry``: the exact text of each field of a line that is one JSON object, else NULL."""
     from logweave.functions.jsontext import exact_entry
 
-    return df.withColumn("entry", exact_entry("value") if exact_text else entry_map(F.col("value")))
+    candidate = F.contains("value", F.lit("{")) & F.is_valid_utf8("value")
+    return df.withColumn("entry", exact_entry(F.when(candidate, F.col("value"))))

@@ -2,35 +2,27 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame
+from logweave.plans.materialize import fresh_folder, remove
+from logweave.sources.files import canonical, concatenate
 
 
 def write_lines(df: DataFrame, output: str) -> int:
-    """Streams the first column, in the frame's order, to a hidden file beside the output and renames it over.
+    """Writes the first column, in the frame's order, as one file; returns the number of lines.
 
-    Partitions come to the driver one at a time; on any failure the output stays as it was.
+    Executors write their ranges to the shared folder; the driver joins the parts as bytes, beside the output, and renames the
+    whole over it. On any failure the output stays as it was.
     """
-    folder = os.path.dirname(os.path.abspath(output))
-    fd, temp = tempfile.mkstemp(prefix=f".{os.path.basename(output)}.", suffix=".tmp", dir=folder)
-    n = 0
+    spark, folder, seen = df.sparkSession, fresh_folder(df.sparkSession, "lines"), Observation()
     try:
-        with os.fdopen(fd, "w", encoding="utf-8", newline="\n") as f:
-            for n, row in enumerate(df.toLocalIterator(prefetchPartitions=True), 1):  # noqa: B007
-                f.write(row[0] + "\n")
-        os.replace(temp, output)
-    except BaseException:
-        os.unlink(temp)
-        raise
-    return n
+        df.select(F.col(df.columns[0]).alias("value")).observe(seen, F.count("*").alias("n")).write.option("lineSep", "\n").text(folder)
+        concatenate(spark, folder, output)
+    finally:
+        remove(folder)
+    return seen.get["n"]
 
 
-def _real(path: str) -> str:
-    """Canonical path; an output that does not exist yet is resolved through its folder."""
-    return os.path.realpath(path)
-
-
-def output_collides(inputs: list[str], output: str) -> str | None:
-    return next((p for p in inputs if p == output or _real(p) == _real(output)), None)
+def output_collides(spark: SparkSession, inputs: list[str], output: str) -> str | None:
+    return next((p for p in inputs if p == output or canonical(spark, p) == canonical(spark, output)), None)

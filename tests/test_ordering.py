@@ -103,6 +103,33 @@ def test_random_orders(spark, merge):
         assert [r.text for r in numbered] == got and [r.p for r in numbered] == list(range(1, len(got) + 1))
 
 
+def test_the_violation_that_is_met_first(spark, tmp_path):
+    a = write(tmp_path / "a.log", entry("05", "a"), entry("09", "b"), entry("08", "late"))
+    b = write(tmp_path / "b.log", entry("01", "a"), entry("07", "b"), "raw", entry("02", "early"))
+    c = write(tmp_path / "c.log", entry("06", "a"), '{"x":1}', '{"y":1}')
+    out = str(tmp_path / "out.log")
+    for inputs, merged, sorted_ in (([a, b, c], (c, 2), (c, 2)), ([a, b], (b, 4), None), ([c, c], (c, 2), (c, 2))):
+        with pytest.raises(LogOrderError) as e:
+            merge_files(spark, inputs, out)
+        assert (e.value.file, e.value.line) == merged
+        if sorted_:
+            with pytest.raises(LogOrderError) as e:
+                sort_files(spark, inputs, out)
+            assert (e.value.file, e.value.line) == sorted_
+        else:
+            assert sort_files(spark, inputs, out) == 7
+
+
+def test_outputs_that_cannot_be_written(spark, tmp_path, capsys):
+    a = write(tmp_path / "a.log", entry("1", "x"))
+    (tmp_path / "dir").mkdir()
+    (tmp_path / "file").write_text("")
+    for out in (str(tmp_path / "dir"), str(tmp_path / "file" / "out.log")):
+        assert cli.main(["sort", a, "--output", out], spark) == 1
+    assert capsys.readouterr().err.count("logweave sort: ") == 2
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.log", "dir", "file"] and list((tmp_path / "dir").iterdir()) == []
+
+
 def test_cli(spark, tmp_path, capsys):
     a, out = write(tmp_path / "a.log", entry("1", "x")), str(tmp_path / "o")
     assert cli.main(["sort", a, "--output", out], spark) == 0

@@ -1,8 +1,9 @@
+import itertools
+
 import pytest
-from pyspark.sql import functions as F
 
-from logweave.functions.query import And, Field, Or, QuerySyntaxError, Substring, compile_predicate, filter_term, needs_line_text, parse
-from logweave.sources.lines import entry_map
+from logweave.functions.query import And, Field, Or, QuerySyntaxError, Substring, compile_predicate, filter_lines, filter_term, needs_line_text, parse
+from logweave.sources.lines import classify
 
 S = Substring
 
@@ -69,8 +70,9 @@ LINES = [
     ],
 )
 def test_matching(spark, text, rows):
-    df = spark.createDataFrame([*enumerate(LINES), (99, None)], "i int, value string").withColumn("entry", entry_map(F.col("value")))
-    assert sorted(r.i for r in df.where(compile_predicate(parse(text))).collect()) == rows
+    df = spark.createDataFrame([*enumerate(LINES), (99, None)], "i int, value string")
+    assert sorted(r.i for r in classify(df).where(compile_predicate(parse(text))).collect()) == rows
+    assert sorted(r.i for r in filter_lines(df, parse(text)).collect()) == rows
 
 
 def test_long_or_compiles(spark):
@@ -87,3 +89,46 @@ def test_filter_terms():
 
 def test_needs_text():
     assert needs_line_text(parse("a=b (c or d=e)")) and not needs_line_text(parse("a=b or c=d")) and not needs_line_text(None)
+
+
+EXACT = [
+    '{"level":"ERROR","props":{"b":1,"a":2}}',
+    '{"level":"A","level":"B"}',
+    '{"n":12345678901234567890123,"i":18446744073709551615,"j":-9223372036854775808,"k":18446744073709551616}',
+    '{"f":1.50,"g":1E2,"h":-0,"e":1e-7}',
+    '{"s":"tab\\tq\\"uote","u":"\\u00e9","\\u0061":1}',
+    '{"l":[1.0, {"z":null,"y":"\\n"}],"t":true}',
+]
+
+
+@pytest.mark.parametrize(
+    ("text", "rows"),
+    [
+        ("props='{\"a\":2,\"b\":1}'", [0]), ("props='{\"b\":1,\"a\":2}'", []), ("level=A", []), ("level=B", [1]), ("n=1.2345678901234568e22", [2]), ("n=12345678901234567890123", []),
+        ("i=18446744073709551615 j=-9223372036854775808", [2]), ("k=1.8446744073709552e19", [2]), ("f=1.5 g=100.0 h=-0.0", [3]), ("e=1e-7", [3]), ("f=1.50", []),
+        ("u=é", [4]), ("a=1", [4]), ("s='tab\tq\"uote'", [4]), ("l='[1.0,{\"y\":\"\\n\",\"z\":null}]'", [5]), ("t=true", [5]),
+    ],
+)
+def test_exact_field_texts(spark, text, rows):
+    df = spark.createDataFrame([*enumerate(EXACT)], "i int, value string")
+    assert sorted(r.i for r in classify(df).where(compile_predicate(parse(text))).collect()) == rows
+    assert sorted(r.i for r in filter_lines(df, parse(text)).collect()) == rows
+
+
+def test_filters_before_parsing_lose_nothing(spark):
+    """Every term that a cell can make, alone and combined, with and without the filter on bytes."""
+    lines = [*EXACT, *LINES, '{"esc\\u0061pe":"x y","o":{}}', '{"a":"{","b":"1e5","c":1e5}']
+    df = spark.createDataFrame([*enumerate(lines)], "i int, value string")
+    whole = classify(df).persist()
+    terms = sorted({t for r in whole.collect() for k, v in (r.entry or {}).items() if (t := filter_term(k, v)) is not None})
+    texts = terms + [f"{a} or {b}" for a, b in itertools.pairwise(terms)] + [f"({a} or timeout) {b}" for a, b in itertools.pairwise(terms)]
+    assert len(terms) > 25
+    for text in texts[:: 1 if len(texts) < 40 else 3]:
+        node = parse(text)
+        assert sorted(r.i for r in filter_lines(df, node).collect()) == sorted(r.i for r in whole.where(compile_predicate(node)).collect()), text
+
+
+def test_a_line_is_parsed_once(spark):
+    df = spark.createDataFrame([*enumerate(LINES)], "i int, value string")
+    plan = filter_lines(df, parse("level=INFO or level=ERROR or (d=2758 n=null)"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("from_json") == 0

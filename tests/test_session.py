@@ -1,3 +1,9 @@
+import threading
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
 from logweave.plans.session import Session, Workspace
 from logweave.streaming.tail import tail
 
@@ -45,3 +51,50 @@ def test_tail(spark, tmp_path):
     q = tail(spark, str(tmp_path / "in"), "level=ERROR").writeStream.format("memory").queryName("tailed").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.value for r in spark.table("tailed").collect()] == ['{"level":"ERROR"}']
+
+
+def test_cancel_ends_a_running_scan_and_no_other(spark, tmp_path):
+    for name in ("a.log", "b.log"):
+        (tmp_path / name).write_text("x\n" * 50)
+    session = Session(spark)
+    slow, other = session.open(str(tmp_path / "a.log")), session.open(str(tmp_path / "b.log"))
+
+    @F.udf("boolean")
+    def sleeps(text):
+        time.sleep(0.4)
+        return True
+
+    @F.udf("boolean")
+    def naps(text):
+        time.sleep(0.05)
+        return True
+
+    slow._predicate, other._predicate = sleeps("value"), naps("value")
+    ends = {}
+
+    def count(tab):
+        began = time.monotonic()
+        try:
+            ends[tab.path] = tab.counts()
+        except Exception as e:
+            ends[tab.path] = type(e).__name__, time.monotonic() - began
+
+    threads = [threading.Thread(target=count, args=(t,)) for t in (slow, other)]
+    for t in threads:
+        t.start()
+    time.sleep(1.5)
+    slow.apply("y")  # a new query ends the scan of the one before
+    for t in threads:
+        t.join(30)
+    assert ends[other.path] == (50, 50) and ends[slow.path][1] < 10 and ends[slow.path] != (50, 50)
+    assert slow.counts() == (0, 50)  # later jobs of the tab run
+    session.close(0)
+    assert other.counts() == (50, 50)
+
+
+def test_opening_what_is_not_there_changes_nothing(spark, tmp_path):
+    session = Session(spark)
+    for path in (str(tmp_path / "none.log"), str(tmp_path)):
+        with pytest.raises(OSError):
+            session.open(path)
+    assert session.tabs == [] and session.active is None
