@@ -50,7 +50,7 @@ def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(rows of VIEWS embedding numbers, where each text begins; one more at the end).
 
     Each word has a bucket for itself, for its first four and for its first six bytes, so unseen forms of a known stem meet it.
-    Every text is followed by as many paddings as keep the widest filter inside it, and has one in front.
+    Every text has paddings in front, enough that no filter over the end of the text before reaches its words, and one behind.
     """
     words = split_words(column, SPACE_LOWER)
     h = xxhash.xxh32_intdigest
@@ -60,7 +60,7 @@ def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begins = np.concatenate(([0], np.cumsum(counts + pad)))
     rows = np.full((begins[-1], VIEWS), PAD, np.int32)
     if len(words.index):
-        rows[np.arange(len(words.index)) + np.repeat(np.arange(len(counts)) * pad + 1, counts)] = table[words.index]
+        rows[np.arange(len(words.index)) + np.repeat(np.arange(len(counts)) * pad + pad - 1, counts)] = table[words.index]
     return rows, begins
 
 
@@ -107,30 +107,34 @@ class WordNet:
         for batch in epochs(len(labels), times, size, seed):
             own = np.concatenate([rows[begins[i] : begins[i + 1]] for i in batch])
             b = np.concatenate(([0], np.cumsum(begins[batch + 1] - begins[batch])))
-            top, x, at = self.pooled(own, b, where=True)
-            hidden = np.maximum(top, 0)
-            d = (sigmoid(hidden @ self.p["o"] + self.p["c"]) - labels[batch]) * weight[batch] / len(batch)
-            grads = {"o": (hidden.T @ d).astype(np.float32), "c": np.array([d.sum()], np.float32), "e": np.zeros_like(self.p["e"])}
-            dh = (d[:, None] * self.p["o"]) * (top > 0)
-            for n, k in enumerate(WIDTHS):
-                g = dh[:, n * WORD_FILTERS : (n + 1) * WORD_FILTERS].astype(np.float32)
-                gw, w = np.zeros_like(self.p[f"w{k}"]), self.p[f"w{k}"]
-                for j in range(k):
-                    place = np.minimum(at[n] + j, len(own) - 1)
-                    part = slice(j * WORD_DIM, (j + 1) * WORD_DIM)
-                    gw[part] = np.einsum("bf,bfd->df", g, x[place])
-                    back = (g[:, :, None] * w[part].T[None]).reshape(-1, WORD_DIM)
-                    for v in range(VIEWS):
-                        np.add.at(grads["e"], own[place.ravel(), v], back)
-                grads[f"w{k}"], grads[f"b{k}"] = gw, g.sum(axis=0)
-            grads["e"][PAD] = 0
-            adam.step(grads)
+            adam.step(self.gradients(own, b, labels[batch], weight[batch]))
         return self
 
+    def gradients(self, rows: np.ndarray, begins: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted mean log loss of some texts."""
+        top, x, at = self.pooled(rows, begins, where=True)
+        hidden = np.maximum(top, 0)
+        d = (sigmoid(hidden @ self.p["o"] + self.p["c"]) - labels) * weight / len(labels)
+        grads = {"o": (hidden.T @ d).astype(np.float32), "c": np.array([d.sum()], np.float32), "e": np.zeros_like(self.p["e"])}
+        dh = (d[:, None] * self.p["o"]) * (top > 0)
+        for n, k in enumerate(WIDTHS):
+            g = dh[:, n * WORD_FILTERS : (n + 1) * WORD_FILTERS].astype(np.float32)
+            gw, w = np.zeros_like(self.p[f"w{k}"]), self.p[f"w{k}"]
+            for j in range(k):
+                place = np.minimum(at[n] + j, len(rows) - 1)
+                part = slice(j * WORD_DIM, (j + 1) * WORD_DIM)
+                gw[part] = np.einsum("bf,bfd->df", g, x[place])
+                back = (g[:, :, None] * w[part].T[None]).reshape(-1, WORD_DIM)
+                for v in range(VIEWS):
+                    np.add.at(grads["e"], rows[place.ravel(), v], back)
+            grads[f"w{k}"], grads[f"b{k}"] = gw, g.sum(axis=0)
+        grads["e"][PAD] = 0
+        return grads
+
 
 # Over bytes.
 
-CHUNK, OVERLAP, STRIDE, BYTE_DIM, BYTE_WIDTH, BYTE_FILTERS, HIDDEN = 1024, 64, 2, 8, 16, 32, 16
+CHUNK, OVERLAP, STRIDE, BYTE_DIM, BYTE_WIDTH, BYTE_FILTERS, HIDDEN = 1024, 64, 1, 8, 16, 32, 16
 
 
 def byte_chunks(data: np.ndarray) -> np.ndarray:
@@ -190,23 +194,26 @@ class ByteNet:
         for batch in epochs(len(labels), times, size, seed):
             own = np.concatenate([chunks[begins[i] : begins[i + 1]] for i in batch])
             n = np.diff(begins)[batch]
-            b = np.concatenate(([0], np.cumsum(n)))
-            tops, at = self.chunk_tops(own, where=True)
-            a, z, hidden, p = self._combine(tops, b)
-            d = ((p - labels[batch]) * weight[batch] / len(batch)).astype(np.float32)
-            dh = (d[:, None] * self.p["o"]) * (hidden > 0)
-            dz = dh @ self.p["h"].T
-            grads = {"o": hidden.T @ d, "c": np.array([d.sum()], np.float32), "h": z.T @ dh, "g": dh.sum(axis=0)}
-            da = np.repeat(dz[:, :BYTE_FILTERS] / n[:, None], n, axis=0)
-            is_most = a == np.repeat(z[:, BYTE_FILTERS:], n, axis=0)
-            da = ((da + is_most * np.repeat(dz[:, BYTE_FILTERS:], n, axis=0)) * (tops > 0)).astype(np.float32)
-            place = at[:, :, None] + np.arange(BYTE_WIDTH)
-            seen = own[np.arange(len(own))[:, None, None], place]  # bytes under each winning window
-            x = self.p["e"][seen].reshape(len(own), BYTE_FILTERS, -1)
-            grads["w"], grads["b"] = np.einsum("nf,nfd->df", da, x), da.sum(axis=0)
-            back = (da[:, :, None] * self.p["w"].T[None]).reshape(-1, BYTE_DIM)
-            ge = np.zeros_like(self.p["e"])
-            np.add.at(ge, seen.reshape(-1), back)
-            grads["e"] = ge
-            adam.step(grads)
+            adam.step(self.gradients(own, n, labels[batch], weight[batch]))
         return self
+
+    def gradients(self, chunks: np.ndarray, n: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted mean log loss of some texts; ``n`` says how many chunks each has."""
+        tops, at = self.chunk_tops(chunks, where=True)
+        a, z, hidden, p = self._combine(tops, np.concatenate(([0], np.cumsum(n))))
+        d = ((p - labels) * weight / len(labels)).astype(np.float32)
+        dh = (d[:, None] * self.p["o"]) * (hidden > 0)
+        dz = dh @ self.p["h"].T
+        grads = {"o": hidden.T @ d, "c": np.array([d.sum()], np.float32), "h": z.T @ dh, "g": dh.sum(axis=0)}
+        da = np.repeat(dz[:, :BYTE_FILTERS] / n[:, None], n, axis=0)
+        is_most = (a == np.repeat(z[:, BYTE_FILTERS:], n, axis=0)).astype(np.float32)
+        is_most /= np.repeat(np.add.reduceat(is_most, np.cumsum(n) - n, axis=0), n, axis=0)  # chunks that tie share
+        da = ((da + is_most * np.repeat(dz[:, BYTE_FILTERS:], n, axis=0)) * (tops > 0)).astype(np.float32)
+        place = at[:, :, None] + np.arange(BYTE_WIDTH)
+        seen = chunks[np.arange(len(chunks))[:, None, None], place]  # bytes under each winning window
+        x = self.p["e"][seen].reshape(len(chunks), BYTE_FILTERS, -1)
+        grads["w"], grads["b"] = np.einsum("nf,nfd->df", da, x), da.sum(axis=0)
+        back = (da[:, :, None] * self.p["w"].T[None]).reshape(-1, BYTE_DIM)
+        grads["e"] = np.zeros_like(self.p["e"])
+        np.add.at(grads["e"], seen.reshape(-1), back)
+        return grads
