@@ -212,19 +212,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     A window is ``window`` consecutive words of an item, or all of a shorter one; every document word inside an occurrence of a
     window is hit. items_sha256 is of the ids of the items with occurring windows, sorted as strings and comma-joined; longest
     is the longest run of words, known in that order from an item, that was met; spans are the disjoint hit spans in words;
-    clean_text is the text without them (null if nothing was hit). Null or wordless texts and items have no words. Repeated
-    rows give repeated rows. Documents stream past the automaton within their partition: nothing is shuffled.
+    clean_text is the text without them (null if nothing was hit). Null or wordless texts and items have no words. Items
+    that share an id are one, those without an id too, which has no part in items_sha256. Repeated rows give repeated rows,
+    texts of any length are taken whole, other columns are ignored. Documents stream past the automaton within their partition: nothing is shuffled.
     """
     automata = _broadcast(benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _meet(batches, automata):
-            hits, items, part = found.hits(), [sorted(x) for x in found.items], found.part
+            hits, items, part = found.hits(), found.items, found.part
             n_hit = [sum(b - a for a, b in h) for h in hits]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"), pa.array(np.diff(found.words.first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array([n > 0 for n in n_hit], pa.bool_()), pa.array(found.longest, pa.int64()),
+                    pa.array([hashlib.sha256(",".join(sorted(i for i in x if i is not None)).encode()).hexdigest() for x in items]), pa.array([n > 0 for n in n_hit], pa.bool_()), pa.array(found.longest, pa.int64()),
                     pa.array([[{"start": a, "end": b} for a, b in h] for h in hits], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array([_without(t.as_py(), h) if h else None for t, h in zip(part.column("text"), hits, strict=True)], pa.string()),
                 ],

@@ -55,3 +55,13 @@ def test_empty_tables_and_text(spark):
     rows = {r.doc_id: r for r in contamination(d, b).collect()}
     assert rows[1].clean_text == "Keep this. ! And é this." and rows[1].longest == 4 and rows[2].clean_text is None
     assert [(s.start, s.end) for s in rows[1].spans] == [(2, 6)]
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    item = " ".join(f"i{k}" for k in range(12))
+    long = "plain words " * 300_000
+    docs = [(1, long + item + " " + long), (2, item * 1), (None, item), (None, None)]
+    d = spark.createDataFrame([*docs, docs[1]], "doc_id bigint, text string")
+    rows = contamination(d, spark.createDataFrame([(1, item), (None, item), (1, item)], "item_id bigint, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items) for r in rows) == sorted([("1", 1_200_012, 12, 2), ("2", 12, 12, 2), ("2", 12, 12, 2), ("None", 12, 12, 2), ("None", 0, 0, 0)])
+    assert {r.items_sha256 for r in rows if r.n_hit} == {hashlib.sha256(b"1").hexdigest()}
