@@ -67,9 +67,10 @@ def canonical(spark: SparkSession, path: str) -> str:
 
 
 def uri(spark: SparkSession, path: str) -> str:
+    """The path as Spark names it in ``_metadata.file_path``."""
     with _as_oserror(path):
         fs, p = _at(spark, path)
-        return fs.makeQualified(p).toUri().toString()
+        return re.sub(r"^file:/+", "file:/", fs.makeQualified(p).toUri().toString())
 
 
 def concatenate(spark: SparkSession, folder: str, output: str) -> None:

@@ -43,25 +43,24 @@ def read_log(spark: SparkSession, *paths: str) -> DataFrame:
 
     A carriage return goes only together with the line feed after it: an unterminated last line keeps its own.
     """
-    parts = [_read_one(spark, p, i) for i, p in enumerate(paths)]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], LINE)
-
-
-def _read_one(spark: SparkSession, path: str, index: int) -> DataFrame:
-    if _SPECIAL_NAME.search(path):
-        lines = _by_ranges(spark, path)
-    else:
-        lines = spark.read.option("lineSep", "\n").text(escape_glob(path)).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    if not paths:
+        return spark.createDataFrame([], LINE)
+    plain = [p for p in dict.fromkeys(paths) if not _SPECIAL_NAME.search(p)]
+    parts = [_by_ranges(spark, p) for p in dict.fromkeys(paths) if _SPECIAL_NAME.search(p)]
+    if plain:  # one scan, however many files
+        lines = spark.read.option("lineSep", "\n").text([escape_glob(p) for p in plain])
+        parts.append(lines.select(F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value"))
+    lines = reduce(DataFrame.unionByName, parts)
     # Two passes and no shuffle of text: ids run on within a block, so a block needs only its first id and the lines before it.
-    blocks = lines.groupBy("block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select("block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(W.partitionBy()).alias("total"))
+    blocks = lines.groupBy("at", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = W.partitionBy("at").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select("at", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(W.partitionBy("at")).alias("total"))
+    inputs = [(i, p, uri(spark, p), last_byte(spark, p) == 13) for i, p in enumerate(paths)]
+    blocks = blocks.join(F.broadcast(spark.createDataFrame(inputs, "input_index int, file string, at string, bare boolean")), "at")
     line_no = F.col("base") + F.col("id") - F.col("first") + 1
-    value = strip_cr(F.col("value"))
-    if last_byte(spark, path) == 13:
-        value = F.when(line_no == F.col("total"), F.col("value")).otherwise(value)
-    rows = lines.join(F.broadcast(blocks), "block")  # a row for each split of the file
-    return rows.select(F.lit(index).alias("input_index"), F.lit(path).alias("file"), line_no.alias("line_no"), value.alias("value"))
+    rows = lines.join(F.broadcast(blocks), ["at", "block"])  # a row for each split of each file
+    keeps = F.col("bare") & (line_no == F.col("total"))
+    return rows.select("input_index", "file", line_no.alias("line_no"), F.when(keeps, F.col("value")).otherwise(strip_cr(F.col("value"))).alias("value"))
 
 
 def lines_in(f, start: int, end: int) -> Iterator[bytes]:
@@ -95,7 +94,7 @@ def lines_in(f, start: int, end: int) -> Iterator[bytes]:
 
 
 def _by_ranges(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
-    """``(block, id, value)`` of a file whatever its name: tasks read byte ranges and own the lines that begin inside."""
+    """``(at, block, id, value)`` of a file whatever its name: tasks read byte ranges and own the lines that begin inside."""
     size, step, name = file_size(spark, path), range_bytes or RANGE_BYTES, uri(spark, path)
     n = -(-size // step)
     starts = spark.range(n).select((F.col("id") * step).alias("block")).repartition(max(1, n), "block")
@@ -118,7 +117,8 @@ def _by_ranges(spark: SparkSession, path: str, range_bytes: int | None = None) -
                             done, held, held_bytes = done + len(held), [], 0
                     yield rows()
 
-    return starts.mapInArrow(run, "block bigint, id bigint, value binary").withColumn("value", F.col("value").cast("string"))
+    rows = starts.mapInArrow(run, "block bigint, id bigint, value binary")
+    return rows.select(F.lit(name).alias("at"), "block", "id", F.col("value").cast("string").alias("value"))
 
 
 def split_text(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -109,3 +109,15 @@ def test_pages(spark, monkeypatch, near):
     for offset, limit in ((0, 10), (3, 7), (100, 50), (490, 30), (500, 1), (501, 5), (9999, 1), (60, 441)):
         assert [r.line_no for r in fl.page(df, offset, limit).collect()] == numbers[offset : offset + limit]
     assert fl.page(df.limit(0), 100, 5).collect() == []
+
+
+def test_many_files_in_one_scan(spark, tmp_path):
+    names = ["a b.log", "ü%20.txt", "c.log", ".hidden", "x.gz", "empty.log"]
+    for k, name in enumerate(names):
+        (tmp_path / name).write_text("".join(f"{name} {i}\n" for i in range(0 if name == "empty.log" else 3 + k)))
+    paths = [str(tmp_path / n) for n in [*names, "c.log", ".hidden"]]
+    rows = read_log(spark, *paths).orderBy("input_index", "line_no").collect()
+    assert [(r.input_index, r.file, r.line_no, r.value) for r in rows] == [
+        (i, p, k + 1, line) for i, p in enumerate(paths) for k, line in enumerate(open(p).read().splitlines())
+    ]
+    assert read_log(spark).collect() == []
