@@ -23,6 +23,8 @@ from logweave.sources.lines import classify, read_log
 from logweave.sources.sink import write_lines
 from logweave.streaming.tail import tail
 
+_BEFORE = set(c.QUERIES)
+
 
 def _event_file(spark: SparkSession, sf_dir: str, name: str = "events.log", where: str = "true") -> str:
     path = f"{fresh_folder(spark, 'logs')}/{name}"
@@ -421,3 +423,7 @@ def _tail(spark, d):
     c.event_lines(spark, d).select("value").write.text(folder)
     tail(spark, folder, "level=ERROR").select("value").writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
+
+
+#: The queries of this module.
+NAMES = set(c.QUERIES) - _BEFORE
