@@ -30,7 +30,19 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(texts(spark, sf_dir), shingle=2, percent=80)
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id", "links")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
+
+
+#: Every pair of different sets that share a shingle, and all that can be reached over links.
+SQL["op1_minhash"] = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] END)) AS g FROM d),
+ k AS (SELECT doc_id, g, len(g) AS n, CASE WHEN len(g) > 0 THEN min(doc_id) OVER (PARTITION BY g) ELSE doc_id END AS class_id FROM s),
+ u AS (SELECT doc_id, n, unnest(g) AS h FROM k WHERE doc_id = class_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+ l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r(node, root) AS (SELECT DISTINCT doc_id, doc_id FROM u UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+ m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(root, class_id) AS component_id, doc_id = coalesce(root, class_id) AS kept, class_id FROM k LEFT JOIN m ON node = class_id"""
 
 
 @query
