@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from logweave.llm.words import ASCII_SPACE, map_batches, slices, text_bytes
+from logweave.llm.words import ASCII_SPACE, Cache, map_batches, slices, text_bytes
 from logweave.plans.materialize import materialize
 
 SEQUENCE, WINDOW_SEQUENCES, END_ID = 4096, 16, 2
@@ -36,27 +36,6 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Cache:
-    """Values by key in two generations of bounded bytes: when the young one is full it becomes the old one, and what is met again moves up."""
-
-    ENTRY = 200  # of two small objects and their slot, beside their contents
-
-    def __init__(self, most: int):
-        self.young, self.old, self.size, self.most = {}, {}, 0, most // 2
-
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, value: bytes) -> None:
-        if self.size >= self.most:
-            self.young, self.old, self.size = {}, self.young, 0
-        self.young[key] = value
-        self.size += self.ENTRY + len(key) + len(value)
-
-
 SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
 
 
@@ -145,7 +124,7 @@ class Encoder:
             ids = get(w)
             if ids is None:
                 ids = self._part(w)
-                put(w, ids)
+                put(w, ids, len(ids))
             own.append(ids)
         if not own:
             return np.zeros(0, self.dtype), np.zeros(len(column) + 1, np.int64)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from logweave.llm.words import SPACE_LOWER, Alphabet, Words, split_words
+from logweave.llm.words import SPACE_LOWER, Alphabet, Words, binary_bytes, split_words
 
 _RANDOM = np.random.default_rng(20240607)
 #: Odd multipliers: one for each word of a shingle (cycled beyond), then pairs for the hash functions.
@@ -23,12 +23,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+#: Longer words are hashed one by one.
+_LONG_WORD = 1 << 12
+_BYTES = _RANDOM.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_POWERS = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(_LONG_WORD, _WORD_FACTORS[0]))))
+
+
+def word_hashes(dictionary: pa.Array) -> np.ndarray:
+    """Of each word the sum of its bytes' random numbers, each times a power of an odd factor by its place; longer words by xxh3."""
+    offsets, data = binary_bytes(dictionary)
+    if not len(data):
+        return np.zeros(len(dictionary), np.uint64)
+    lengths = np.diff(offsets)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], lengths)
+    out = mix(np.add.reduceat(_BYTES[data] * _POWERS[np.minimum(place, _LONG_WORD)], offsets[:-1]))  # no word is empty
+    for i in np.flatnonzero(lengths > _LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(data[offsets[i] : offsets[i + 1]].tobytes())
+    return out
 
 
 def _hashed(words: Words) -> np.ndarray:
-    return word_hashes(words.distinct)[words.index] if len(words.index) else np.zeros(0, np.uint64)
+    return word_hashes(words.dictionary)[words.index] if len(words.index) else np.zeros(0, np.uint64)
 
 
 def runs_of(hashed: np.ndarray, size: int) -> np.ndarray:
@@ -52,12 +67,23 @@ def range_sets(hashed: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: i
     out = []
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         if b - a >= size:
-            out.append(np.unique(whole[a : b - size + 1]))
+            own = whole[a : b - size + 1].copy()
+            own.sort()
+            out.append(own)
         elif b > a:
             short = (hashed[a:b] * _WORD_FACTORS[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
             out.append(mix(np.array([short], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))
+    if not out:
+        return out
+    ends = np.cumsum([len(x) for x in out])
+    flat = np.concatenate(out)
+    repeats = np.flatnonzero(flat[1:] == flat[:-1]) + 1
+    for i in np.unique(np.searchsorted(ends, repeats, "right")).tolist():  # sets that may hold an element twice
+        x = out[i]
+        if len(x) > 1:
+            out[i] = x[np.concatenate(([True], x[1:] != x[:-1]))]
     return out
 
 

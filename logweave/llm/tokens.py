@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.words import alphabet, slices, split_words
+from logweave.llm.words import Cache, alphabet, map_batches, slices, split_words
 
 SPACE_MARK = "▁"
 #: What an unknown character costs below the worst piece.
 UNKNOWN_PENALTY = 10.0
-CACHE_PIECES = 800_000
+#: Bytes of the cache of a worker's counter.
+CACHE_BYTES = 64 << 20
 _counters: dict[str, UnigramCounter] = {}  # by vocabulary file, of this worker
 
 
@@ -54,7 +55,7 @@ class UnigramCounter:
         self.automaton.make_automaton()
         self.single = {p for p, _ in vocabulary if len(p) == 1}
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
-        self.known: dict[bytes, int] = {}
+        self.known = Cache(CACHE_BYTES)
 
     def count(self, run: str) -> int:
         n = len(run)
@@ -81,13 +82,12 @@ class UnigramCounter:
     def counts(self, column: pa.Array) -> np.ndarray:
         """Of each text. Runs of ordinary words are counted once while they stay in the worker's cache."""
         words = split_words(column, _BLANK)
-        if len(self.known) >= CACHE_PIECES:
-            self.known.clear()
         own = np.zeros(len(words.distinct), np.int64)
         for i, w in enumerate(words.distinct):
             n = self.known.get(w)
             if n is None:
-                n = self.known[w] = self.count(SPACE_MARK + w.decode())
+                n = self.count(SPACE_MARK + w.decode())
+                self.known.put(w, n)
             own[i] = n
         before = np.concatenate(([0], np.cumsum(own[words.index]))) if len(own) else np.zeros(1, np.int64)
         out = before[words.first[1:]] - before[words.first[:-1]]
@@ -118,7 +118,8 @@ def counter(path: str) -> UnigramCounter:
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, n_bytes for every row of ``docs (doc_id, text)``; a null or empty text has no tokens.
 
-    Nothing is shuffled, and repeated rows give repeated rows.
+    Texts of any length are counted whole. Nothing is shuffled, repeated rows give repeated rows, other columns are ignored,
+    an empty table gives no rows.
     """
     path = path or vocabulary_path()
 
@@ -129,4 +130,5 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), part.column("n_bytes")], ["doc_id", "n_tokens", "n_bytes"])
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("bigint").alias("n_bytes")).mapInArrow(run, "doc_id bigint, n_tokens bigint, n_bytes bigint")
+    rows = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("bigint").alias("n_bytes"))
+    return map_batches(rows, run, "doc_id bigint, n_tokens bigint, n_bytes bigint")

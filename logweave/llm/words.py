@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.plans.materialize import store
+
 SLICE_BYTES = 4 << 20
 #: Bytes of an Arrow batch on its way to or from a Python worker, unless the session sets its own; a longer row is a batch by itself.
 BATCH_BYTES, BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -46,7 +49,13 @@ ALNUM_LOWER = alphabet(bytes(i for i in range(128) if not (48 <= i <= 57 or 65 <
 class Words:
     first: np.ndarray  # of each text, its first word; one more at the end
     index: np.ndarray  # word numbers, all texts one after the other
-    distinct: list[bytes]
+    dictionary: pa.Array  # the distinct words
+
+    @cached_property
+    def distinct(self) -> list[bytes]:
+        offsets, data = binary_bytes(self.dictionary)
+        data, at = data.tobytes(), offsets.tolist()
+        return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def of(self, i: int) -> np.ndarray:
         return self.index[self.first[i] : self.first[i + 1]]
@@ -54,8 +63,12 @@ class Words:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string column; null counts as empty."""
-    column = column.fill_null("") if column.null_count else column
-    wide = pa.types.is_large_string(column.type)
+    return binary_bytes(column.fill_null("") if column.null_count else column)
+
+
+def binary_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a column of strings or bytes without nulls."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     return offsets - offsets[0], data
@@ -64,7 +77,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def split_words(column: pa.Array, letters: Alphabet) -> Words:
     offsets, data = text_bytes(column)
     if not len(data):
-        return Words(np.zeros(len(column) + 1, np.int64), np.zeros(0, np.int32), [])
+        return Words(np.zeros(len(column) + 1, np.int64), np.zeros(0, np.int32), pa.array([], pa.binary()))
     inside = letters.inside[data]
     after = np.empty(len(data), bool)  # nothing of the same word stands before
     after[0] = True
@@ -79,7 +92,28 @@ def split_words(column: pa.Array, letters: Alphabet) -> Words:
     np.cumsum(lengths, out=ends[1:])
     packed = letters.byte[data[inside]]
     words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(packed)]).dictionary_encode()
-    return Words(np.searchsorted(starts, offsets), words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist())
+    return Words(np.searchsorted(starts, offsets), words.indices.to_numpy(zero_copy_only=False), words.dictionary)
+
+
+class Cache:
+    """Values by key in two generations of bounded bytes: when the young one is full it becomes the old one, and what is met again moves up."""
+
+    ENTRY = 200  # of two small objects and their slot, beside their contents
+
+    def __init__(self, most: int):
+        self.young, self.old, self.size, self.most = {}, {}, 0, most // 2
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.pop(key, None)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: bytes, value, size: int = 0) -> None:
+        if self.size >= self.most:
+            self.young, self.old, self.size = {}, self.young, 0
+        self.young[key] = value
+        self.size += self.ENTRY + len(key) + size
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -110,6 +144,24 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(bounded, schema)
 
 
+def in_wide_batches(step: Callable[..., DataFrame], *tables: DataFrame) -> DataFrame:
+    """``step`` over stored tables of short rows, its result stored.
+
+    It runs in a session of its own, with the settings of the caller's but for the bytes of a batch: there a batch is bounded by
+    its rows alone, since asking for its bytes at every row costs several times what a short row does.
+    """
+    spark = tables[0].sparkSession
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set(BATCH_CONF, str(2**31 - 1))
+    out = store(step(*(own.read.schema(t.schema).parquet(t._folder) for t in tables)))
+    found = spark.read.schema(out.schema).parquet(out._folder)
+    found._folder = out._folder
+    return found
+
+
 def pack_texts(docs: DataFrame) -> DataFrame:
     """``docs (id, text)`` with the text compressed (``packed``), for shuffles; null texts are left out."""
 

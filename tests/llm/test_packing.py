@@ -6,7 +6,8 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from logweave.llm.packing import Cache, Mixture, pack, tokenizer_path
+from logweave.llm.packing import Mixture, pack, tokenizer_path
+from logweave.llm.words import Cache
 
 
 def check(spark, rows, sequence=4096, windows=16):
@@ -77,7 +78,7 @@ def test_targets_hold_while_sources_last(spark):
 def test_cache_is_bounded():
     cache = Cache(100_000)
     for i in range(5000):
-        cache.put(str(i).encode(), b"xx")
+        cache.put(str(i).encode(), b"xx", 2)
         assert cache.get(b"0") == b"xx"
     assert len(cache.young) + len(cache.old) < 600 and cache.get(b"1") is None
 

@@ -16,11 +16,13 @@ def exact(vocabulary):
 
 def test_table(spark):
     vocabulary = read_vocabulary(vocabulary_path())
-    whole, rows = exact(vocabulary), pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()[:60]
-    rows = [(r["doc_id"], r["text"][:4000]) for r in rows]
-    rows += [(10**6 + i, t) for i, t in enumerate(["", " ", "  a  b ", "日本語 emoji😀 ▁x", "tab\tnew\nline", "a" * 5000, "ñ\x00é"])] + [(10**7, None)]
-    got = {r.doc_id: r.n_tokens for r in count_tokens(spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS n_tokens")).collect()}
-    assert got == {i: whole(t or "") for i, t in rows}
+    whole, rows = exact(vocabulary), pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()
+    rows = [(r["doc_id"], r["text"]) for r in rows]
+    rows += [(10**6 + i, t) for i, t in enumerate(["", " ", "  a  b ", "日本語 emoji😀 ▁x", "tab\tnew\nline", "a" * 5000, "ñ\x00é", "word  and " * 20_000, "x" + "long text " * 30_000])] + [(10**7, None), (None, "no id"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS n_tokens")
+    got = [(str(r.doc_id), r.n_tokens, r.n_bytes) for r in count_tokens(df).collect()]
+    assert sorted(got) == sorted((str(i), whole(t or ""), len((t or "").encode())) for i, t in rows)
+    assert count_tokens(df.limit(0)).collect() == []
 
 
 def test_ties():
