@@ -22,7 +22,7 @@ from logweave.sources.files import file_size
 from logweave.sources.lines import classify, read_log
 
 MODIFIERS = ("ctrl", "alt", "shift", "command")
-DEBOUNCE_S = 0.25
+DEBOUNCE_S, CANCEL_S = 0.25, 0.2
 
 
 def new_session(name: str) -> SparkSession:
@@ -195,6 +195,15 @@ class Tab:
             tags = [*self._tags]
         for tag in tags:
             self.spark.sparkContext.cancelJobsWithTag(tag)
+        if tags:
+            threading.Thread(target=self._until_ended, args=(tags,), daemon=True).start()
+
+    def _until_ended(self, tags: list[str]) -> None:
+        """A job that was still being planned begins after the first call; so the call is repeated until its block has ended."""
+        while left := [t for t in tags if t in self._tags]:
+            time.sleep(CANCEL_S)
+            for tag in left:
+                self.spark.sparkContext.cancelJobsWithTag(tag)
 
     def close(self) -> None:
         self.cancel()
