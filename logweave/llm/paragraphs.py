@@ -15,12 +15,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.near_dup import link
 from logweave.llm.shingles import band_keys, range_sets, runs_of, signatures, word_stream
-from logweave.llm.words import SPACE_LOWER, Words, map_batches, pack_texts, slices, split_words, unpack_texts
+from logweave.llm.words import SPACE_LOWER, binary_bytes, in_wide_batches, map_batches, pack_texts, slices, split_words, unpack_texts
 from logweave.plans.materialize import drop, materialize, release, store
 
 SHINGLE, PERCENT = 5, 80
@@ -28,25 +29,41 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 8, 2
 #: Words of the shortest passage that counts inside a longer text. Of every 11 seeds of 10 words in a row one is taken: 10 + 11 - 1 = 20.
 LEAST, SEED, SEED_STARTS = 20, 10, 11
-#: A seed at over one in so many places has its runs tied in two steps, which split over tasks; at most so many seeds do.
-HOT, LEAST_HOT = 1024, 1024
+#: A seed at more places than this has its runs tied in two steps, which split over tasks; of the others a task holds one run's places.
+HOT_PLACES = 1 << 16
 #: Text that is hashed at a time; the arrays beside it take some sixty times as much.
 SLICE_BYTES = 1 << 20
-#: Places of a text that are looked at together.
-PLACES = 1 << 14
 
 
-def chosen(shingles: np.ndarray, words: int, starts: int) -> np.ndarray:
-    """Of every ``starts`` runs of ``words`` words in a row the first with the least hash, from the hashes of a text's shingles in order.
+def _rolling(pick: np.ufunc, v: np.ndarray, size: int) -> np.ndarray:
+    """The least or greatest of every ``size`` values in a row, by doubling."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        v = pick(v[: len(v) - step], v[step:])
+        have += step
+    return v
 
-    So the choice within a passage depends on the passage alone.
+
+def _covered(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` places whether it lies in one of the ranges, ends included."""
+    some = last >= first
+    return np.cumsum(np.bincount(first[some], minlength=n + 1) - np.bincount(last[some] + 1, minlength=n + 1))[:n] > 0
+
+
+def chosen(shingles: np.ndarray, first: np.ndarray, words: int, starts: int) -> np.ndarray:
+    """Of every ``starts`` runs of ``words`` words in a row inside one text those with the least hash of their first shingle.
+
+    ``shingles`` has a hash for every word of all texts, and text i begins with word first[i] (one more at the end). The choice
+    within a passage depends on the passage alone.
     """
-    places = len(shingles) + SHINGLE - words
-    if places < starts:
+    if len(shingles) < starts:
         return np.zeros(0, np.int64)
-    v, low = shingles[:places], range(0, places - starts + 1, PLACES)
-    at = [np.lib.stride_tricks.sliding_window_view(v[a : a + PLACES + starts - 1], starts).argmin(axis=1) + np.arange(a, min(a + PLACES, places - starts + 1)) for a in low]
-    return np.unique(np.concatenate(at))
+    least = _rolling(np.minimum, shingles, starts)  # of the runs that begin at a word and at the next ones
+    least[~_covered(first[:-1], first[1:] - words - starts + 1, len(least))] = 0  # beyond the text
+    around = np.concatenate((np.zeros(starts - 1, least.dtype), least, np.zeros(starts - 1, least.dtype)))
+    most = _rolling(np.maximum, around, starts)
+    return np.flatnonzero((shingles == most) & (most > 0))  # least of some window that holds it
 
 
 class Lines:
@@ -54,7 +71,7 @@ class Lines:
 
     def __init__(self, column: pa.Array):
         lists = pc.split_pattern(column.fill_null(""), "\n")
-        self.words = split_words(lists.values, SPACE_LOWER)
+        self.lists, self.words = lists, split_words(lists.values, SPACE_LOWER)
         offsets = lists.offsets.to_numpy()
         self.text_first = self.words.first[offsets]  # of each text, its first word; one more at the end
         counts = np.diff(self.text_first)
@@ -66,10 +83,14 @@ class Lines:
         self.start = start[order]
         self.end = np.concatenate((self.words.first[long + 1], self.text_first[short + 1]))[order]
         self.row = np.concatenate((line_row[long], short))[order]
+        self.line = np.concatenate((long, offsets[short]))[order], np.concatenate((long + 1, offsets[short + 1]))[order]  # from and to
 
-    def flat(self) -> Words:
-        """The words by texts."""
-        return Words(self.text_first, self.words.index, self.words.distinct)
+    def bytes_of(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte in its text, bytes) of each paragraph; line feeds inside a whole text count."""
+        at = binary_bytes(self.lists.values)[0] + np.arange(len(self.lists.values) + 1)  # of each line, in the texts with their line feeds
+        base = at[self.line[0]] if len(self.line[0]) else at[:0]
+        offsets = self.lists.offsets.to_numpy()
+        return base - at[offsets[self.row]], at[self.line[1]] - 1 - base
 
 
 def _set_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -81,8 +102,9 @@ _BAND = [f"b{i}" for i in range(BANDS)]
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """One row per paragraph of ``docs (doc_id, text)``: doc_id, first_word (its number from 0), n_words, n (shingles in its set), k
-    and t (hashes of the set and of the words in order) and its band keys b0, b1, ..."""
-    names = ["doc_id", "first_word", "n_words", "n", "k", "t", *_BAND]
+    and t (hashes of the set and of the words in order), at, size and raw (its first byte, its bytes and a hash of them), and its
+    band keys b0, b1, ..."""
+    names = ["doc_id", "first_word", "n_words", "n", "at", "size", "k", "t", "raw", *_BAND]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,12 +116,15 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 sets = range_sets(hashed, lines.start, lines.end, SHINGLE)
                 order = [xxhash.xxh3_64_intdigest(hashed[a:b].tobytes()) for a, b in zip(lines.start.tolist(), lines.end.tolist(), strict=True)]
                 bands = band_keys(signatures(sets, -(-BANDS * ROWS // 2)), BANDS, ROWS)
-                numbers = [lines.start - lines.text_first[lines.row], lines.end - lines.start, [len(s) for s in sets]]
-                arrays = [part.column("doc_id").take(pa.array(lines.row)), *(pa.array(x, pa.int32()) for x in numbers), pa.array(_set_keys(sets)), pa.array(np.array(order, np.uint64).view(np.int64))]
+                at, size = lines.bytes_of()
+                texts = [t.as_buffer() for t in part.column("text")]
+                raw = [xxhash.xxh3_64_intdigest(texts[i][a : a + n]) for i, a, n in zip(lines.row.tolist(), at.tolist(), size.tolist(), strict=True)]
+                numbers = [lines.start - lines.text_first[lines.row], lines.end - lines.start, [len(s) for s in sets], at, size]
+                arrays = [part.column("doc_id").take(pa.array(lines.row)), *(pa.array(x, pa.int32()) for x in numbers), pa.array(_set_keys(sets)), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (order, raw))]
                 yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(np.ascontiguousarray(b)) for b in bands.T)], names)
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text")
-    return map_batches(rows, run, "doc_id bigint, first_word int, n_words int, n int, k bigint, t bigint, " + ", ".join(f"{b} bigint" for b in _BAND))
+    return map_batches(rows, run, "doc_id bigint, first_word int, n_words int, n int, at int, size int, k bigint, t bigint, raw bigint, " + ", ".join(f"{b} bigint" for b in _BAND))
 
 
 def _with_places(docs: DataFrame, places: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, all_docs: bool = False) -> DataFrame:
@@ -116,33 +141,26 @@ def _with_places(docs: DataFrame, places: DataFrame, run: Callable[[pa.RecordBat
 
 def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """``(id, packed)`` of the classes with these ids, from the place that stands for each."""
-    places = classes.join(ids, "id").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("first_word", "id", "k")).alias("at")).withColumnRenamed("of", "id")
+    places = classes.join(ids, "id").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("id", "at", "size", "raw")).alias("places")).withColumnRenamed("of", "id")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        lines = Lines(part.column("text"))
-        hashed, known = word_stream(lines.words), {}
-        for i, (row, start) in enumerate(zip(lines.row.tolist(), (lines.start - lines.text_first[lines.row]).tolist(), strict=True)):
-            known[row, start] = i
-        ids, texts = [], []
-        for row, places in enumerate(part.column("at").to_pylist()):
-            found = [(x, known.get((row, x["first_word"]))) for x in places]
-            found = [(x, i) for x, i in found if i is not None]
-            if found:
-                at = np.array([i for _, i in found])
-                keys = _set_keys(range_sets(hashed, lines.start[at], lines.end[at], SHINGLE)).tolist()
-                for (x, i), k in zip(found, keys, strict=True):
-                    if k == x["k"]:  # a doc_id may come with several texts
-                        ids.append(x["id"])
-                        texts.append(b" ".join([lines.words.distinct[w] for w in lines.words.index[lines.start[i] : lines.end[i]].tolist()]).decode())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
-
-    return pack_texts(_with_places(docs, places, run, "id bigint, text string"))
+        ids, packed, press = [], [], zstandard.ZstdCompressor(level=1)
+        for text, places in zip(part.column("text"), part.column("places").to_pylist(), strict=True):
+            text = text.as_buffer()
+            for x in places:
+                own = text[x["at"] : x["at"] + x["size"]]
+                if xxhash.xxh3_64_intdigest(own) == x["raw"] % 2**64:  # a doc_id may come with several texts
+                    ids.append(x["id"])
+                    packed.append(press.compress(own))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["id", "packed"])
+
+    return _with_places(docs, places, run, "id bigint, packed binary")
 
 
 def _near(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """The near-equal paragraphs of ``signed``, as ``repeated_paragraphs`` has them."""
     spark, key = docs.sparkSession, ["k", *_BAND]
-    one = [F.first(c).alias(c) for c in ("n", "doc_id", "first_word")]
+    one = [F.first(c).alias(c) for c in ("n", "doc_id", "at", "size", "raw")]
     classes = store(signed.groupBy(*key).agg(*one, (F.count("*") > 1).alias("many")).withColumn("id", F.monotonically_increasing_id()))
     release(spark)
     first = classes.select("id", "n", F.array(*_BAND).alias("bands"))
@@ -168,7 +186,9 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     count as one. Null ids and texts and wordless texts have no paragraphs; an empty table gives no rows.
     """
     signed = store(paragraphs(docs))
-    return _near(docs, signed)
+    near = _near(docs, signed)
+    drop(signed)
+    return near
 
 
 def _equal_lines(signed: DataFrame) -> DataFrame:
@@ -176,18 +196,34 @@ def _equal_lines(signed: DataFrame) -> DataFrame:
     rows = signed.where(F.col("n_words") >= LEAST).select("doc_id", F.col("first_word").alias("w"), "n_words", "t", "k")
     place = F.struct("doc_id", "w")
     hubs = rows.groupBy("t", "k", "n_words").agg(F.min(place).alias("hub"), F.max(place).alias("last")).where("hub != last").drop("last")
-    return store(rows.join(store(hubs), ["t", "k", "n_words"]).select("doc_id", "w", "n_words", "t", "hub"))
+    hubs = store(hubs)
+    equal = store(rows.join(hubs, ["t", "k", "n_words"]).select("doc_id", "w", "n_words", "t", "hub"))
+    drop(hubs)
+    return equal
+
 
+def _copied(lines: pa.Array, first: np.ndarray, hashed: np.ndarray, inner: int) -> np.ndarray:
+    """For each word of all texts whether the ``inner`` words from there stand inside one of their copied lines."""
+    begin, end = [], []
+    for at, stop, own in zip(first[:-1].tolist(), first[1:].tolist(), lines.to_pylist(), strict=True):
+        for x in own or ():
+            a, b = at + x["w"], at + x["w"] + x["n_words"]
+            if b <= stop and xxhash.xxh3_64_intdigest(hashed[a:b].tobytes()) == x["t"] % 2**64:  # an id may come with several texts
+                begin.append(a)
+                end.append(b - inner)
+    return _covered(np.array(begin, np.int64), np.array(end, np.int64), len(hashed))
 
-def _copied(lines: list, hashed: np.ndarray, inner: int) -> np.ndarray:
-    """For each word of a text whether the ``inner`` words from there stand inside one of the copied lines."""
-    edges = np.zeros(len(hashed) + 1, np.int64)
-    for x in lines or ():
-        a, b = x["w"], x["w"] + x["n_words"]
-        if b - a >= inner and b <= len(hashed) and xxhash.xxh3_64_intdigest(hashed[a:b].tobytes()) == x["t"] % 2**64:  # an id may come with several texts
-            edges[a] += 1
-            edges[b - inner + 1] -= 1
-    return np.cumsum(edges)[:-1] > 0
+
+def _places(part: pa.RecordBatch, at: np.ndarray, first: np.ndarray, others: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Rows (doc_id, w, ...) for words of all texts by number."""
+    rows = np.searchsorted(first, at, "right") - 1
+    rows = rows if len(at) else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), pa.array(at - first[rows], pa.int32()), *map(pa.array, others.values())], ["doc_id", "w", *others])
+
+
+def _padded(hashes: np.ndarray, n: int) -> np.ndarray:
+    """With a greatest value for the last words, where no run begins."""
+    return np.concatenate((hashes, np.full(n - len(hashes), 2**64 - 1, np.uint64)))
 
 
 def _seeds(docs: DataFrame, copied: DataFrame) -> DataFrame:
@@ -199,20 +235,11 @@ def _seeds(docs: DataFrame, copied: DataFrame) -> DataFrame:
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         words = split_words(part.column("text"), SPACE_LOWER)
-        stream = word_stream(words)
-        hashed, whole = runs_of(stream, SHINGLE), runs_of(stream, SEED)
-        rows, at, h = [], [], []
-        for i, (lines, a, b) in enumerate(zip(part.column("lines").to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
-            if b - a >= LEAST:
-                own = chosen(hashed[a : b - SHINGLE + 1], SEED, SEED_STARTS)
-                if lines:
-                    around = own - (LEAST - SEED)
-                    own = own[(around < 0) | ~_copied(lines, stream[a:b], 2 * LEAST - SEED)[around]]
-                rows.append(np.full(len(own), i))
-                at.append(own)
-                h.append(whole[a + own])
-        rows, at, h = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((rows, np.int64), (at, np.int64), (h, np.uint64)))
-        return pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), pa.array(at, pa.int32()), pa.array(h.view(np.int64))], ["doc_id", "w", "h"])
+        hashed = word_stream(words)
+        at = chosen(_padded(runs_of(hashed, SHINGLE), len(hashed)), words.first, SEED, SEED_STARTS)
+        around = at - (LEAST - SEED)
+        at = at[(around < 0) | ~_copied(part.column("lines"), words.first, hashed, 2 * LEAST - SEED)[around]]
+        return _places(part, at, words.first, {"h": runs_of(hashed, SEED)[at].view(np.int64)})
 
     return _with_places(docs, copied, run, "doc_id bigint, w int, h bigint", all_docs=True)
 
@@ -222,81 +249,126 @@ def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         words = split_words(part.column("text"), SPACE_LOWER)
-        stream = word_stream(words)
-        whole = runs_of(stream, LEAST)
-        rows, at, h, hot = [], [], [], []
-        for i, (places, lines, a, b) in enumerate(zip(part.column("at").to_pylist(), part.column("lines").to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
-            n = b - a - LEAST + 1
-            if n < 1:
-                continue
-            seen = []
-            for kind in (False, True):
-                edges = np.zeros(n + SEED + LEAST, np.int64)
-                p = np.array([x["w"] for x in places if kind is False or x["hot"]], np.int64)
-                p = p[p + SEED <= b - a]  # an id may come with several texts
-                np.add.at(edges, np.maximum(p - (LEAST - SEED), 0), 1)
-                np.add.at(edges, np.minimum(p, n - 1) + 1, -1)
-                seen.append(np.cumsum(edges)[:n] > 0)
-            own = np.flatnonzero(seen[0] & ~_copied(lines, stream[a:b], LEAST)[:n])
-            rows.append(np.full(len(own), i))
-            at.append(own)
-            h.append(whole[a + own])
-            hot.append(seen[1][own])
-        rows, at, h, hot = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((rows, np.int64), (at, np.int64), (h, np.uint64), (hot, bool)))
-        return pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), pa.array(at, pa.int32()), pa.array(h.view(np.int64)), pa.array(hot)], ["doc_id", "w", "h", "hot"])
+        hashed, first = word_stream(words), words.first
+        lists = part.column("at")
+        rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        seed, hot = lists.flatten().field("w").to_numpy() + first[rows], lists.flatten().field("hot").to_numpy(zero_copy_only=False)
+        known = seed + SEED <= first[rows + 1]  # an id may come with several texts
+        low, high = np.maximum(seed - (LEAST - SEED), first[rows]), np.minimum(seed, first[rows + 1] - LEAST)
+        seen = [_covered(low[which], high[which], len(hashed)) for which in (known, known & hot)]
+        at = np.flatnonzero(seen[0] & ~_copied(part.column("lines"), first, hashed, LEAST))
+        return _places(part, at, first, {"h": runs_of(hashed, LEAST)[at].view(np.int64), "hot": seen[1][at]})
 
     return _with_places(docs, wanted, run, "doc_id bigint, w int, h bigint, hot boolean")
 
 
-def _tied(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(doc_id, w, hub)`` of the windows that stand at two places or more, hub the first of them.
+def _whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of sorted batches, cut so that equal values of one column stay together; the last group of a batch waits for the next."""
+    held: list[dict[str, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        last = int(np.searchsorted(rows[column], rows[column][-1]))
+        if last == 0 and held and held[0][column][0] == rows[column][0]:  # one group still
+            held.append(rows)
+            continue
+        if held and (last or held[0][column][0] != rows[column][0]):
+            yield {c: np.concatenate([*(h[c] for h in held), rows[c][:last]]) for c in rows}
+        elif last:
+            yield {c: x[:last] for c, x in rows.items()}
+        held = [{c: x[last:] for c, x in rows.items()}]
+    if held:
+        yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
+
+def _meetings(windows: DataFrame) -> DataFrame:
+    """``(doc_id, w, hub_doc, hub_w)`` of the ``windows (doc_id, w, h)`` that stand at two places or more, hub the first of them; a task holds the places of one hash."""
+    names = ["doc_id", "w", "hub_doc", "hub_w"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches, "h"):
+            h, doc, w = rows["h"], rows["doc_id"], rows["w"]
+            start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            sizes = np.diff(np.append(start, len(h)))
+            hub_doc = np.repeat(np.minimum.reduceat(doc, start), sizes)
+            hub_w = np.repeat(np.minimum.reduceat(np.where(doc == hub_doc, w, np.iinfo(np.int32).max), start), sizes)
+            several = np.repeat(np.logical_or.reduceat((doc != hub_doc) | (w != hub_w), start), sizes)  # rows that repeat a document are one place
+            yield pa.RecordBatch.from_arrays([pa.array(x[several], t) for x, t in zip((doc, w, hub_doc, hub_w), types, strict=True)], names)
+
+    dealt = windows.select("h", "doc_id", "w").repartition("h").sortWithinPartitions("h")
+    return map_batches(dealt, run, "doc_id bigint, w int, hub_doc bigint, hub_w int")
+
+
+def _tied(windows: DataFrame) -> DataFrame:
+    """``(doc_id, w, hub_doc, hub_w)`` of the ``windows (doc_id, w, h, hot)`` that stand at two places or more, hub the first of them.
 
     Windows around a frequent seed are grouped with partial sums and joined back, which Spark splits over tasks; of the
-    others, in one shuffle, a bounded number meets in a task, sorted and streaming.
+    others, in one shuffle, a bounded number meets in a task.
     """
-    place, by = F.struct("doc_id", "w"), Window.partitionBy("h").orderBy("doc_id", "w")
-    first = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cold = _windows(docs, wanted).where("not hot").select("doc_id", "w", "h")
-    cold = cold.select("doc_id", "w", F.struct(F.first("doc_id").over(first).alias("doc_id"), F.first("w").over(first).alias("w")).alias("hub"), F.lead("doc_id").over(by).alias("next_doc"), F.lead("w").over(by).alias("next_w"))
-    cold = cold.where((F.col("hub") != place) | (F.col("next_doc") != F.col("doc_id")) | (F.col("next_w") != F.col("w"))).drop("next_doc", "next_w")
-    around = wanted.where("exists(at, x -> x.hot)")
-    if around.isEmpty():
-        return cold
-    hot = store(_windows(docs, around).where("hot").select("doc_id", "w", "h"))
+    place, hot = F.struct("doc_id", "w"), windows.where("hot").select("doc_id", "w", "h")
     hubs = store(hot.groupBy("h").agg(F.min(place).alias("hub"), F.max(place).alias("last")).where("hub != last").drop("last"))
-    return hot.join(hubs, "h").select("doc_id", "w", "hub").unionByName(cold)
+    hot = hot.join(hubs, "h").select("doc_id", "w", F.col("hub.doc_id").alias("hub_doc"), F.col("hub.w").alias("hub_w"))
+    return hot.unionByName(_meetings(windows.where("not hot")))
+
+
+def _side_by_side(ties: DataFrame) -> DataFrame:
+    """``ties (doc_id, keep_doc_id, by, kept, w, n_words)`` of one stretch to another that touch or overlap, as one row; a task holds the ties of one document."""
+    key = ["doc_id", "keep_doc_id", "by", "kept"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches, "doc_id"):
+            order = np.lexsort([rows[c] for c in ("w", *reversed(key))])
+            own, first = [rows[c][order] for c in key], rows["w"][order].astype(np.int64)
+            end = first + rows["n_words"][order]
+            other = np.zeros(len(first), bool)
+            for x in own:
+                other[1:] |= x[1:] != x[:-1]
+            group = np.cumsum(other) << 33
+            reach = np.maximum.accumulate(group + end)
+            start = np.ones(len(first), bool)
+            start[1:] = group[1:] + first[1:] > reach[:-1]
+            at = np.flatnonzero(start)
+            doc, keep, by, kept = (x[at] for x in own)
+            first, end = first[at], (reach - group)[np.append(at[1:], len(first)) - 1]
+            arrays = [pa.array(doc), pa.array(first, pa.int32()), pa.array(end - first, pa.int32()), pa.array(keep), pa.array(first - by, pa.int32()), pa.array(kept.astype(bool))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "first_word", "n_words", "keep_doc_id", "keep_first_word", "kept"])
+
+    dealt = ties.repartition("doc_id").sortWithinPartitions("doc_id")
+    return map_batches(dealt, run, "doc_id bigint, first_word int, n_words int, keep_doc_id bigint, keep_first_word int, kept boolean")
 
 
 def _runs(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The exact repetitions, as ``repeated_runs`` has them."""
+    """The exact repetitions, as ``repeated_runs`` has them; ``signed`` is dropped."""
     spark, place = docs.sparkSession, F.struct("doc_id", "w")
     equal = _equal_lines(signed)
+    drop(signed)
     release(spark)
     copied = store(equal.where(F.col("hub") != place).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("w", "n_words", "t")).alias("lines")))
     seeds = store(_seeds(docs, copied))
     release(spark)
-    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("doc_id", "w") for f in (F.min, F.max)]
-    twice = seeds.groupBy("h").agg(*ends, F.count("*").alias("n")).where("min_doc_id < max_doc_id or min_w < max_w")
-    twice = store(twice.select("h", (F.col("n") > max(seeds.count() / HOT, LEAST_HOT)).alias("hot")))
+    twice = seeds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")  # repeated rows count too; their runs meet only themselves below
+    twice = store(twice.select("h", (F.col("n") > HOT_PLACES).alias("hot")))
     release(spark)
     wanted = seeds.join(twice, "h").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("w", "hot")).alias("at"))
     wanted = store(wanted.join(copied, "id", "left"))
     drop(seeds, twice, copied)
     release(spark)
-    tied = store(_tied(docs, wanted))
+    windows = store(_windows(docs, wanted))
     drop(wanted)
     release(spark)
-    tied = tied.withColumn("n_words", F.lit(LEAST)).unionByName(equal.drop("t"))
-    # Ties of one document to the same stretch of another, side by side, make one row.
-    side = tied.select("doc_id", "w", "n_words", F.col("hub.doc_id").alias("keep_doc_id"), (F.col("w") - F.col("hub.w")).alias("by"))
-    side = side.withColumn("kept", (F.col("doc_id") == F.col("keep_doc_id")) & (F.col("by") < LEAST))
-    same = ["doc_id", "keep_doc_id", "by", "kept"]
-    order = Window.partitionBy(*same).orderBy("w", "n_words")
-    reach = F.max(F.col("w") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    side = side.withColumn("reach", reach)
-    side = side.withColumn("run", F.count(F.when(F.col("reach").isNull() | (F.col("w") > F.col("reach")), 1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = side.groupBy(*same, "run").agg(F.min("w").alias("first_word"), F.max(F.col("w") + F.col("n_words")).alias("end"))
-    return runs.select("doc_id", "first_word", (F.col("end") - F.col("first_word")).alias("n_words"), "keep_doc_id", (F.col("first_word") - F.col("by")).alias("keep_first_word"), "kept")
+
+    def step(windows: DataFrame, equal: DataFrame) -> DataFrame:
+        lines = equal.select("doc_id", "w", F.col("hub.doc_id").alias("hub_doc"), F.col("hub.w").alias("hub_w"), "n_words")
+        ties = _tied(windows).withColumn("n_words", F.lit(LEAST)).unionByName(lines).withColumn("by", F.col("w") - F.col("hub_w"))
+        kept = (F.col("doc_id") == F.col("hub_doc")) & (F.col("by") < LEAST)
+        return _side_by_side(ties.select("doc_id", F.col("hub_doc").alias("keep_doc_id"), "by", kept.alias("kept"), "w", "n_words"))
+
+    runs = in_wide_batches(step, windows, equal)
+    drop(windows, equal)
+    release(spark)
+    return runs
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:

@@ -120,11 +120,14 @@ def test_without_repeats(spark, docs):
     assert text[8] == text[12] == text[17] == text[2**40] == ""
 
 
-def test_places_are_chosen_alike_in_any_portions(monkeypatch):
-    hashes = np.random.default_rng(1).integers(0, 40, 700).astype(np.uint64)
-    whole = chosen(hashes, 25, 26).tolist()
-    monkeypatch.setattr("logweave.llm.paragraphs.PLACES", 7)
-    assert chosen(hashes, 25, 26).tolist() == whole and len(whole) > 30
+def test_places_are_chosen_by_content():
+    r = np.random.default_rng(4)
+    sizes = [0, 5, 19, 20, 21, 31, 700, 0, 12, 60]
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    hashes = r.integers(1, 40, first[-1]).astype(np.uint64)
+    expected = {p for a, b in zip(first[:-1], first[1:], strict=True) for j in range(a, b - 19) for p in range(j, j + 11) if hashes[p] == hashes[j : j + 11].min()}
+    assert set(chosen(hashes, first, 10, 11).tolist()) == expected
+    assert chosen(hashes[:3], np.array([0, 3]), 10, 11).tolist() == []
 
 
 def short_docs():
@@ -175,16 +178,14 @@ def test_whole_repetitions_are_removed(spark):
         assert all(w in rest for w in words_of(t)) and len(left[i]) - len(words_of(t)) <= 4
 
 
-@pytest.mark.parametrize("hot", [1, 1 << 30])
+@pytest.mark.parametrize("hot", [0, 1 << 30])
 def test_repeated_words_of_the_table_and_of_frequent_passages(spark, monkeypatch, hot):
     """Against every run of 20 words; with every seed frequent, and with none."""
-    monkeypatch.setattr(paragraphs, "HOT", hot)
+    monkeypatch.setattr(paragraphs, "HOT_PLACES", hot)
     t = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
     common = prose(3000, 27)
     docs = [(r["doc_id"], r["text"]) for r in t] + [(10**6 + i, " ".join(prose(3100 + i, 5 + i % 9) + common[i % 3 :] + prose(3300 + i, 6)) + "\n" + " ".join(common)) for i in range(60)]
     docs += [(10**7, "heat " * 300 + " ".join(common)), (10**7 + 1, "a\n" + "heat " * 90 + "\nb c " * 25), (-3, " ".join(common))]
-    if hot > 1:
-        monkeypatch.setattr(paragraphs, "LEAST_HOT", 0)
     rows = repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).where("not near").collect()
     assert {(r.doc_id, w) for r in rows if not r.kept for w in range(r.first_word, r.first_word + r.n_words)} == repeated_words(docs)
     words = {i: words_of(t) for i, t in docs}
@@ -197,3 +198,27 @@ def test_one_id_with_several_texts(spark):
     docs = [(1, line), (5, line), (5, " ".join(prose(4001, 12)) + " " + line), (7, " ".join(prose(4002, 40)))]
     rows = repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).where("not near").collect()
     assert {(r.doc_id, r.first_word, r.n_words, r.kept) for r in rows} == {(1, 0, 30, True), (5, 0, 30, False), (5, 12, 30, False)}
+
+
+@pytest.mark.parametrize("size", ["1", "7", "1000"])
+def test_streams_over_batches(spark, size):
+    r = random.Random(5)
+    rows = [(r.randrange(-3, 9), r.randrange(40), r.randrange(60)) for _ in range(700)]
+    ties = [(r.randrange(6), r.randrange(2), r.randrange(3), r.random() < 0.5, r.randrange(90), r.randrange(1, 9)) for _ in range(300)]
+    by_hash, covered = {}, set()
+    for doc, w, h in rows:
+        by_hash.setdefault(h, set()).add((doc, w))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = paragraphs._meetings(spark.createDataFrame(rows, "doc_id bigint, w int, h bigint")).collect()
+        runs = paragraphs._side_by_side(spark.createDataFrame(ties, "doc_id bigint, keep_doc_id bigint, by int, kept boolean, w int, n_words int")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = [(*p, *min(by_hash[h])) for *p, h in rows if len(by_hash[h]) > 1]
+    assert sorted(map(tuple, got)) == sorted(expected)
+    for doc, keep, by, kept, w, n in ties:
+        covered |= {(doc, keep, by, kept, x) for x in range(w, w + n)}
+    found = [(x.doc_id, x.keep_doc_id, x.first_word - x.keep_first_word, x.kept, w) for x in runs for w in range(x.first_word, x.first_word + x.n_words)]
+    assert len(found) == len(set(found)) and set(found) == covered
+    ends = {(x.doc_id, x.keep_doc_id, x.first_word - x.keep_first_word, x.kept, x.first_word + x.n_words) for x in runs}
+    assert not ends & covered
