@@ -93,18 +93,18 @@ def shingle_sets(column: pa.Array, size: int, letters: Alphabet = SPACE_LOWER) -
     return range_sets(_hashed(words), words.first[:-1], words.first[1:], size)
 
 
-def signatures(sets: list[np.ndarray], permutations: int) -> np.ndarray:
+def signatures(sets: list[np.ndarray], permutations: int, first: int = 0) -> np.ndarray:
     """One row of ``2 * permutations`` uint32 for each non-empty set: of every hash function both the least and the greatest value.
 
     The two ends of a permutation agree between two sets each with probability equal to their similarity, so one evaluation
-    yields two unbiased signature values.
+    yields two unbiased signature values. The hash functions are those from number ``first`` on.
     """
     starts = np.zeros(len(sets), np.int64)
     np.cumsum([len(s) for s in sets[:-1]], out=starts[1:])
     x = np.concatenate(sets)
     out = np.empty((len(sets), 2 * permutations), np.uint32)
     for i in range(permutations):
-        v = ((x * _FACTORS[i] + _SHIFTS[i]) >> np.uint64(32)).astype(np.uint32)
+        v = ((x * _FACTORS[first + i] + _SHIFTS[first + i]) >> np.uint64(32)).astype(np.uint32)
         np.minimum.reduceat(v, starts, out=out[:, 2 * i])
         np.maximum.reduceat(v, starts, out=out[:, 2 * i + 1])
     return out
