@@ -18,8 +18,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Adam:
-    def __init__(self, params: dict[str, np.ndarray], rate: float):
-        self.params, self.rate, self.t = params, rate, 0
+    def __init__(self, params: dict[str, np.ndarray], rate: float, single: bool = False):
+        """With ``single`` every step is made in the parameters' own precision and in place."""
+        self.params, self.rate, self.t, self.single = params, rate, 0, single
         self.m = {k: np.zeros_like(v) for k, v in params.items()}
         self.v = {k: np.zeros_like(v) for k, v in params.items()}
 
@@ -27,6 +28,20 @@ class Adam:
         self.t += 1
         scale = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, g in grads.items():
+            if self.single:
+                m, v, part = self.m[k], self.v[k], g - self.m[k]
+                part *= 0.1
+                m += part
+                np.multiply(g, g, out=part)
+                part -= v
+                part *= 0.001
+                v += part
+                np.sqrt(v, out=part)
+                part += 1e-7
+                np.divide(m, part, out=part)
+                part *= float(scale)
+                self.params[k] -= part
+                continue
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.001 * (g * g - self.v[k])
             self.params[k] -= scale * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)
@@ -40,10 +55,16 @@ def epochs(n: int, times: int, size: int, seed: int):
             yield np.sort(order[k : k + size])
 
 
+def balance(labels: np.ndarray, mean: float) -> np.ndarray:
+    """Weights by which both classes count alike where label 1 has this share."""
+    return np.where(labels == 1, 0.5 / max(mean, 1e-6), 0.5 / max(1 - mean, 1e-6)).astype(np.float32)
+
+
 # Over words.
 
 BUCKETS, WORD_DIM, WORD_FILTERS, WIDTHS, VIEWS = 1 << 14, 12, 16, (1, 2, 3), 3
 PAD = BUCKETS * VIEWS
+PIECE = 1 << 10  # words whose responses are held at a time, few enough for the cache
 
 
 def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,34 +97,55 @@ class WordNet:
             **{f"b{k}": np.zeros(WORD_FILTERS, np.float32) for k in WIDTHS},
             "o": f(len(WIDTHS) * WORD_FILTERS, scale=0.1), "c": np.full(1, -1.0, np.float32),
         }
+        self.pad = PAD
         if params is None:
             self.p["e"][PAD] = 0
 
+    def embedded(self, rows: np.ndarray) -> np.ndarray:
+        one, two, three = (np.take(self.p["e"], rows[..., v], axis=0) for v in range(VIEWS))
+        one += two
+        one += three
+        return one
+
     def pooled(self, rows: np.ndarray, begins: np.ndarray, where: bool = False):
-        x = self.p["e"][rows[:, 0]] + self.p["e"][rows[:, 1]] + self.p["e"][rows[:, 2]]
-        top, at = [], []
-        for k in WIDTHS:
-            y = np.zeros((len(x), WORD_FILTERS), np.float32)
-            for j in range(k):
-                y[: len(x) - j] += x[j:] @ self.p[f"w{k}"][j * WORD_DIM : (j + 1) * WORD_DIM]
-            y += self.p[f"b{k}"]
-            ends = begins[1:] - max(WIDTHS)
-            m = np.maximum.reduceat(y, begins[:-1], axis=0)  # windows of padding alone give a constant
-            top.append(m)
+        """Of each text the greatest response of every filter, and where it begins if asked; a piece of the words at a time."""
+        n = len(begins) - 1
+        top = np.full((n, len(WIDTHS) * WORD_FILTERS), -np.inf, self.p["o"].dtype)
+        at = np.zeros((n, len(WIDTHS) * WORD_FILTERS), np.int64) if where else None
+        every = np.concatenate([self.p[f"w{k}"][j * WORD_DIM : (j + 1) * WORD_DIM] for k in WIDTHS for j in range(k)], axis=1)
+        shift = np.concatenate([self.p[f"b{k}"] for k in WIDTHS])
+        for a in range(0, len(rows), PIECE):
+            size = min(PIECE, len(rows) - a)
+            z = self.embedded(rows[a : a + size + max(WIDTHS) - 1]) @ every  # of each word what it adds to each filter from each place
+            texts = slice(int(np.searchsorted(begins, a, "right")) - 1, int(np.searchsorted(begins, a + size, "left")))
+            cut = np.maximum(begins[texts] - a, 0)
+            y, of = np.empty((size, len(shift)), z.dtype), 0
+            for i, k in enumerate(WIDTHS):
+                own = y[:, i * WORD_FILTERS : (i + 1) * WORD_FILTERS]
+                own[:] = z[:size, of : of + WORD_FILTERS]
+                for j in range(1, k):
+                    part = z[j : j + size, of + j * WORD_FILTERS : of + (j + 1) * WORD_FILTERS]
+                    own[: len(part)] += part
+                of += k * WORD_FILTERS
+            m = np.maximum.reduceat(y, cut, axis=0) + shift  # windows of padding alone give a constant
             if where:
-                at.append(np.stack([begins[i] + y[begins[i] : max(ends[i], begins[i]) + max(WIDTHS)].argmax(axis=0) for i in range(len(m))]))
-        top = np.concatenate(top, axis=1)
-        return (top, x, at) if where else top
+                first = np.stack([a + b + y[b:e].argmax(axis=0) for b, e in zip(cut.tolist(), [*cut[1:].tolist(), size], strict=True)])
+                at[texts] = np.where(m > top[texts], first, at[texts])
+            top[texts] = np.maximum(top[texts], m)
+        return (top, at) if where else top
 
     def score(self, column: pa.Array) -> np.ndarray:
-        rows, begins = word_features(column)
+        return self.of_words(*word_features(column))
+
+    def of_words(self, rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
         top = self.pooled(rows, begins)
         return sigmoid(np.maximum(top, 0) @ self.p["o"] + self.p["c"]).astype(np.float64)
 
-    def fit(self, column: pa.Array, labels: np.ndarray, times: int = 8, size: int = 64, rate: float = 0.01, seed: int = 5) -> WordNet:
-        adam = Adam(self.p, rate)
-        weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6)).astype(np.float32)
-        rows, begins = word_features(column)
+    def fit(self, column: pa.Array, labels: np.ndarray, times: int = 8) -> WordNet:
+        return self.learn(*word_features(column), labels, balance(labels, labels.mean()), times)
+
+    def learn(self, rows: np.ndarray, begins: np.ndarray, labels: np.ndarray, weight: np.ndarray, times: int, size: int = 64, rate: float = 0.01, seed: int = 5) -> WordNet:
+        adam = Adam(self.p, rate, single=True)
         for batch in epochs(len(labels), times, size, seed):
             own = np.concatenate([rows[begins[i] : begins[i + 1]] for i in batch])
             b = np.concatenate(([0], np.cumsum(begins[batch + 1] - begins[batch])))
@@ -112,25 +154,37 @@ class WordNet:
 
     def gradients(self, rows: np.ndarray, begins: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         """Of the weighted mean log loss of some texts."""
-        top, x, at = self.pooled(rows, begins, where=True)
+        top, at = self.pooled(rows, begins, where=True)
         hidden = np.maximum(top, 0)
         d = (sigmoid(hidden @ self.p["o"] + self.p["c"]) - labels) * weight / len(labels)
         grads = {"o": (hidden.T @ d).astype(np.float32), "c": np.array([d.sum()], np.float32), "e": np.zeros_like(self.p["e"])}
-        dh = (d[:, None] * self.p["o"]) * (top > 0)
+        dh, hit, pull = (d[:, None] * self.p["o"]) * (top > 0), [], []
         for n, k in enumerate(WIDTHS):
             g = dh[:, n * WORD_FILTERS : (n + 1) * WORD_FILTERS].astype(np.float32)
             gw, w = np.zeros_like(self.p[f"w{k}"]), self.p[f"w{k}"]
             for j in range(k):
-                place = np.minimum(at[n] + j, len(rows) - 1)
+                place = np.minimum(at[:, n * WORD_FILTERS : (n + 1) * WORD_FILTERS] + j, len(rows) - 1)
                 part = slice(j * WORD_DIM, (j + 1) * WORD_DIM)
-                gw[part] = np.einsum("bf,bfd->df", g, x[place])
+                gw[part] = np.einsum("bf,bfd->df", g, self.embedded(rows[place]))
                 back = (g[:, :, None] * w[part].T[None]).reshape(-1, WORD_DIM)
-                for v in range(VIEWS):
-                    np.add.at(grads["e"], rows[place.ravel(), v], back)
+                hit.append(rows[place.ravel()].ravel())
+                pull.append(np.repeat(back, VIEWS, axis=0))
             grads[f"w{k}"], grads[f"b{k}"] = gw, g.sum(axis=0)
-        grads["e"][PAD] = 0
+        hit, pull = np.concatenate(hit), np.concatenate(pull)
+        for i in range(WORD_DIM):
+            grads["e"][:, i] = np.bincount(hit, pull[:, i], len(grads["e"]))
+        grads["e"][self.pad] = 0
         return grads
 
+    def narrowed(self, rows: np.ndarray) -> tuple[WordNet, np.ndarray, np.ndarray]:
+        """A copy with the embeddings that ``rows`` use alone, the numbers of those, and ``rows`` by their places in it."""
+        used = np.zeros(len(self.p["e"]), bool)
+        used[rows] = used[self.pad] = True
+        place = np.cumsum(used, dtype=np.int32) - 1
+        net = WordNet({k: v[used] if k == "e" else v.copy() for k, v in self.p.items()})
+        net.pad = place[self.pad]
+        return net, np.flatnonzero(used), place[rows]
+
 
 # Over bytes.
 
@@ -189,7 +243,7 @@ class ByteNet:
 
     def fit(self, column: pa.Array, labels: np.ndarray, times: int = 6, size: int = 32, rate: float = 0.004, seed: int = 6) -> ByteNet:
         adam = Adam(self.p, rate)
-        weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6)).astype(np.float32)
+        weight = balance(labels, labels.mean())
         chunks, begins = self.chunks_of(column)
         for batch in epochs(len(labels), times, size, seed):
             own = np.concatenate([chunks[begins[i] : begins[i + 1]] for i in batch])

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from logweave.llm import nets
-from logweave.llm.classify import accepted, labelled_sample, quality, score, thresholds, toxicity
+from logweave.llm.classify import accepted, best_limits, labelled, labelled_sample, learned, quality, score, shards, thresholds, toxicity
 from logweave.llm.nets import CHUNK, ByteNet, WordNet, byte_chunks, word_features
 
 
@@ -151,3 +151,53 @@ def test_thresholds_by_language(spark):
     assert limits == {"en": 0.3, "de": 0.7}
     docs = spark.createDataFrame([(1, "0.35", "en"), (2, "0.35", "de"), (3, "0.65", "fr"), (4, "0.4", None), (1, "0.1", "en"), (1, "0.1", "de")], "doc_id bigint, text string, lang string")
     assert sorted((r.doc_id, r.score, r.flagged) for r in score(docs, Model(), 5, 0, limits).collect()) == [(1, 0.1, False), (1, 0.1, False), (1, 0.35, True), (2, 0.35, False), (3, 0.65, True), (4, 0.4, False)]
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Bounds of a sample do not matter, and neither does how rows lie in files, with one shard or many."""
+    monkeypatch.setattr("logweave.llm.classify.CLASS_ROWS", 2)
+    monkeypatch.setattr("logweave.llm.classify.CLASS_BYTES", 100)
+    docs, labels, truth = tables(spark)
+    out = [r for r in toxicity(docs, labels).collect() if r.held_out and r.doc_id in truth]
+    assert sum(r.predicted == truth[r.doc_id][1] for r in out) >= 0.85 * len(out) > 20
+    monkeypatch.setattr("logweave.llm.classify.SHARD_BYTES", 4000)
+    results = [sorted((-1 if r.doc_id is None else r.doc_id, round(r.score, 4)) for r in toxicity(docs.repartition(n), labels.repartition(n)).collect()) for n in (1, 5)]
+    assert all(a == c and abs(b - d) < 2e-4 for (a, b), (c, d) in zip(*results, strict=True))
+
+
+def test_shards_hold_every_row(spark, monkeypatch):
+    monkeypatch.setattr("logweave.llm.classify.SHARD_BYTES", 4000)
+    docs, labels, truth = tables(spark)
+    more = [(30_000, "one", "b"), (30_000, "one", "a"), (30_001, "one", "a"), (30_001, "two", "a"), (30_002, None, "a")]
+    docs = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(more, "doc_id bigint, text string, lang string"))
+    labels = labels.union(spark.createDataFrame([(30_000, 1, 1), (30_001, 1, 1), (30_002, 1, 1)], labels.schema))
+    table = shards(docs, labelled(labels, "toxic", 5, 5))
+    found = table.collect()
+    assert len(found) > 3 and all(sum(r.rows) == len(r.lang) == len(r.y) for r in found)
+    assert sum(len(r.y) for r in found) == 241 and sum(r.rows[1] + r.rows[3] for r in found) == sum(truth[i][1] for i in range(240)) + 1
+    assert [x for r in found for x in r.lang if x == "a" or x == "b"] == ["a"]
+    nets = learned(table)
+    rows, scores = [], []  # each row scored by the net of the half that it is not in
+    for r in found:
+        words, at = np.frombuffer(r.words, np.uint16).reshape(-1, 3), 0
+        for n, y, half, lang in zip(np.frombuffer(r.counts, np.int64), r.y, r.half, r.lang, strict=True):
+            rows.append({"text": str(len(rows)), "lang": lang, "y": y})
+            scores.append(nets[2 - half].of_words(words[at : at + n], np.array([0, n]))[0])
+            at += n
+
+    class Model:
+        def score(self, column):
+            return np.array([scores[int(x)] for x in column.to_pylist()])
+
+    limits, brute = best_limits(table, nets), thresholds(rows, Model())
+    assert set(limits) == set(brute) == {"", "en"} and all(abs(limits[k] - brute[k]) < 1e-6 for k in brute)
+
+
+def test_words_in_pieces(monkeypatch):
+    """Responses and their places do not depend on how many words are held at a time."""
+    rows, begins = word_features(pa.array(TEXTS, pa.string()))
+    whole = WordNet(seed=3).pooled(rows, begins, where=True)
+    for piece in (1, 2, 7, 50):
+        monkeypatch.setattr("logweave.llm.nets.PIECE", piece)
+        top, at = WordNet(seed=3).pooled(rows, begins, where=True)
+        assert np.abs(top - whole[0]).max() < 1e-6 and (at == whole[1]).mean() > 0.99
