@@ -65,6 +65,65 @@ def site(seed, n=60):
     return pages + [(100 + k, *pages[k][1:]) for k in range(5)]
 
 
+def brute_articles(pages):
+    """By definition, over whole hosts: runs on half of a host's distinct articles, on three at least, cover blocks of its articles."""
+    seen, every, out = {}, {}, {}
+    for host, found in {(host, tuple(blocks(html))): 0 for _, host, html in pages}:
+        words = [w for kind, text in found if kind == MAIN for w in text.split()]
+        if words:
+            every[host] = every.get(host, 0) + 1
+        for run in {tuple(words[i : i + 8]) for i in range(len(words) - 7)}:
+            seen[host, run] = seen.get((host, run), 0) + 1
+    for key, host, html in pages:
+        own = [t for kind, t in blocks(html) if kind == MAIN]
+        words, hit = [(w, k) for k, t in enumerate(own) for w in t.split()], set()
+        for i in range(len(words) - 7):
+            if seen[host, tuple(w for w, _ in words[i : i + 8])] >= max(3, every[host] / 2):
+                hit.update(range(i, i + 8))
+        drop = [sum(words[i][1] == k for i in hit) >= 0.8 * len(t.split()) for k, t in enumerate(own)]
+        lost = sum(len(t.split()) for t, d in zip(own, drop, strict=True) if d)
+        out[key] = "\n\n".join(t for t, d in zip(own, drop, strict=True) if not d or 2 * lost >= len(words))
+    return out
+
+
+def press(seed, n=80):
+    """Pages of three hosts, all with articles: an unmarked notice in every article of one, in some of another; near copies; a line that is an advert elsewhere."""
+    r = random.Random(seed)
+    words = lambda n: " ".join(f"v{r.randrange(99999)}" for _ in range(n))
+    notice, line, story, pages = words(14), words(12), [words(30) for _ in range(6)], []
+    for i in range(n):
+        body = [words(r.randrange(20, 50)) for _ in range(r.randrange(1, 5))]
+        if i % 4 != 3:
+            body.insert(r.randrange(len(body) + 1), notice if i % 3 == 0 or i % 7 == 0 else words(9))
+        if i % 10 == 0:
+            body.append(line)
+        if i % 3 == 2 and i % 5:  # most of this host's pages tell one story
+            body = [*story, f"version {i}"]
+        inner = "".join(f"<p>{t}</p>" for t in body)
+        pages.append((i, f"h{i % 3}.example", f"<body><nav>{words(5)}</nav><div class='ad'>{line}</div><article>{inner}</article></body>"))
+    return pages + [(100 + k, *pages[k][1:]) for k in range(9)]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_articles_against_every_run_of_every_article(spark, monkeypatch, seed):
+    pages = press(seed)
+    want = brute_articles(pages)
+    whole = {key: main_text(html) for key, _, html in pages}
+    changed = {key for key in want if want[key] != whole[key]}
+    assert len(changed) > 15 and all(key % 3 == 0 or key >= 100 for key in changed)  # the notice of the one host goes, all else stays
+    for host_pages, group, parts in ((512, 2 << 20, 7), (5, 2 << 20, 3), (512, 900, 2), (5, 900, 2)):  # a host in one task, in several, in groups
+        monkeypatch.setattr("logweave.llm.html.HOST_PAGES", host_pages)
+        monkeypatch.setattr("logweave.llm.html.GROUP_BYTES", group)
+        assert {r.page_id: r.text for r in extract(frame(spark, pages).repartition(parts)).collect()} == want
+
+
+def test_a_notice_in_every_article(spark):
+    notice = "<p>Read all our stories at half the price for one whole year now</p>"
+    pages = [(i, "n.example", f"<article><p>Story {i} " + " ".join(f"w{i}x{k}" for k in range(30)) + f"</p>{notice}</article>") for i in range(6)]
+    assert all(r.text.startswith("Story") and "price" not in r.text for r in extract(frame(spark, pages)).collect())
+    assert all(r.text.endswith("now") for r in extract(frame(spark, pages[:2])).collect())  # on two pages it may be a quotation
+
+
 def frame(spark, pages):
     rows = [(key, f"http://{host}/{key}", html) for key, host, html in pages]
     return spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 AS host", "2 AS run", "3 AS row", "4 AS stream")
