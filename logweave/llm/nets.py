@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from logweave.llm.words import SPACE_LOWER, split_words, text_bytes
+from logweave.llm.words import SPACE_LOWER, binary_bytes, split_words, text_bytes
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -67,6 +67,44 @@ PAD = BUCKETS * VIEWS
 PIECE = 1 << 10  # words whose responses are held at a time, few enough for the cache
 
 
+#: What is trimmed off words.
+_EDGE = np.zeros(256, bool)
+_EDGE[list(b".,;:!?|\"'()[]")] = True
+
+
+def trimmed(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each word begins without what is trimmed, where it ends, bytes)."""
+    offsets, data = binary_bytes(words)
+    inner = np.flatnonzero(~_EDGE[data])
+    starts = np.minimum(np.append(inner, len(data))[np.searchsorted(inner, offsets[:-1])], offsets[1:])
+    ends = np.append(inner, -1)[np.searchsorted(inner, offsets[1:]) - 1] + 1  # of the last place before; none gives 0
+    return starts, np.maximum(ends, starts), data
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """xxh32 of pieces of ``data``; those under 16 bytes, which most words are, all at once."""
+    p1, p2, p3, p4, p5 = (np.uint32(p) for p in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1))
+    size = ends - starts
+    long = np.flatnonzero(size >= 16)
+    size = np.minimum(size, 15)
+    padded = np.concatenate((data, np.zeros(4, np.uint8)))
+    fours = np.ndarray(len(data) + 1, "<u4", padded, strides=(1,))
+    h = p5 + size.astype(np.uint32)
+    for k in range(3):
+        some = np.flatnonzero(size >= 4 * k + 4)
+        x = h[some] + fours[starts[some] + 4 * k] * p3
+        h[some] = ((x << np.uint32(17)) | (x >> np.uint32(15))) * p4
+    for k in range(3):
+        some = np.flatnonzero(size % 4 > k)
+        x = h[some] + padded[starts[some] + size[some] // 4 * 4 + k] * p5
+        h[some] = ((x << np.uint32(11)) | (x >> np.uint32(21))) * p1
+    h = (h ^ (h >> np.uint32(15))) * p2
+    h = (h ^ (h >> np.uint32(13))) * p3
+    h ^= h >> np.uint32(16)
+    h[long] = [xxhash.xxh32_intdigest(data[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return h
+
+
 def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(rows of VIEWS embedding numbers, where each text begins; one more at the end).
 
@@ -74,9 +112,8 @@ def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     Every text has paddings in front, enough that no filter over the end of the text before reaches its words, and one behind.
     """
     words = split_words(column, SPACE_LOWER)
-    h = xxhash.xxh32_intdigest
-    views = [(h(w) % BUCKETS, BUCKETS + h(w[:4]) % BUCKETS, 2 * BUCKETS + h(w[:6]) % BUCKETS) for w in (w.strip(b".,;:!?|\"'()[]") for w in words.distinct)]
-    table = np.array(views or [(PAD,) * VIEWS], np.int32)
+    starts, ends, data = trimmed(words.dictionary)
+    table = np.stack([v * BUCKETS + (hashes(data, starts, np.minimum(ends, starts + most)) % BUCKETS).astype(np.int32) for v, most in enumerate((len(data), 4, 6))], axis=1)
     counts, pad = np.diff(words.first), max(WIDTHS)
     begins = np.concatenate(([0], np.cumsum(counts + pad)))
     rows = np.full((begins[-1], VIEWS), PAD, np.int32)
@@ -112,25 +149,27 @@ class WordNet:
         n = len(begins) - 1
         top = np.full((n, len(WIDTHS) * WORD_FILTERS), -np.inf, self.p["o"].dtype)
         at = np.zeros((n, len(WIDTHS) * WORD_FILTERS), np.int64) if where else None
-        every = np.concatenate([self.p[f"w{k}"][j * WORD_DIM : (j + 1) * WORD_DIM] for k in WIDTHS for j in range(k)], axis=1)
-        shift = np.concatenate([self.p[f"b{k}"] for k in WIDTHS])
+        own = len(WIDTHS) * WORD_FILTERS
+        part = lambda k, j: self.p[f"w{k}"][j * WORD_DIM : (j + 1) * WORD_DIM]
+        every = np.concatenate([part(k, 0) for k in WIDTHS] + [part(k, j) for k in WIDTHS for j in range(1, k)], axis=1)
+        shift, column = np.concatenate([self.p[f"b{k}"] for k in WIDTHS]), np.arange(own)
         for a in range(0, len(rows), PIECE):
             size = min(PIECE, len(rows) - a)
             z = self.embedded(rows[a : a + size + max(WIDTHS) - 1]) @ every  # of each word what it adds to each filter from each place
             texts = slice(int(np.searchsorted(begins, a, "right")) - 1, int(np.searchsorted(begins, a + size, "left")))
             cut = np.maximum(begins[texts] - a, 0)
-            y, of = np.empty((size, len(shift)), z.dtype), 0
+            y, of = z[:size, :own], own
             for i, k in enumerate(WIDTHS):
-                own = y[:, i * WORD_FILTERS : (i + 1) * WORD_FILTERS]
-                own[:] = z[:size, of : of + WORD_FILTERS]
                 for j in range(1, k):
-                    part = z[j : j + size, of + j * WORD_FILTERS : of + (j + 1) * WORD_FILTERS]
-                    own[: len(part)] += part
-                of += k * WORD_FILTERS
-            m = np.maximum.reduceat(y, cut, axis=0) + shift  # windows of padding alone give a constant
+                    more = z[j : j + size, of : of + WORD_FILTERS]
+                    y[: len(more), i * WORD_FILTERS : (i + 1) * WORD_FILTERS] += more
+                    of += WORD_FILTERS
             if where:
-                first = np.stack([a + b + y[b:e].argmax(axis=0) for b, e in zip(cut.tolist(), [*cut[1:].tolist(), size], strict=True)])
-                at[texts] = np.where(m > top[texts], first, at[texts])
+                first = np.stack([b + y[b:e].argmax(axis=0) for b, e in zip(cut.tolist(), [*cut[1:].tolist(), size], strict=True)])
+                m = y[first, column] + shift
+                at[texts] = np.where(m > top[texts], a + first, at[texts])
+            else:
+                m = np.maximum.reduceat(y, cut, axis=0) + shift  # windows of padding alone give a constant
             top[texts] = np.maximum(top[texts], m)
         return (top, at) if where else top
 

@@ -201,3 +201,22 @@ def test_words_in_pieces(monkeypatch):
         monkeypatch.setattr("logweave.llm.nets.PIECE", piece)
         top, at = WordNet(seed=3).pooled(rows, begins, where=True)
         assert np.abs(top - whole[0]).max() < 1e-6 and (at == whole[1]).mean() > 0.99
+
+
+def test_word_numbers_are_hashed_all_at_once(monkeypatch):
+    """Equal to xxh32 of each trimmed word and its beginnings, and only words of 16 bytes and more take a call of their own."""
+    rng = random.Random(7)
+    texts = ["", None, "...", "a", "..a..", "\"'(é)ü.", "x" * 15, "x" * 16, "Y" * 17 + ".", "!" * 40 + " ." + "q" * 40 + "[", *("".join(rng.choices("abC.,é ü!xyz\n", k=rng.randrange(60))) for _ in range(300))]
+    texts += ["word" * n + "abc"[:k] for n in range(6) for k in range(4)]
+    h, calls = xxhash.xxh32_intdigest, []
+    want, places = [], []
+    for text in texts:
+        words = [w.lower().strip(b".,;:!?|\"'()[]") for w in (text or "").encode().split()]
+        want += [[nets.PAD] * 3] * 2 + [[v * nets.BUCKETS + h(part) % nets.BUCKETS for v, part in enumerate((w, w[:4], w[:6]))] for w in words] + [[nets.PAD] * 3]
+        places.append(len(want))
+    monkeypatch.setattr(nets.xxhash, "xxh32_intdigest", lambda w: calls.append(bytes(w)) or h(w))
+    rows, begins = word_features(pa.array(texts, pa.string()))
+    assert rows.tolist() == want and begins.tolist() == [0, *places]
+    assert calls and all(len(w) >= 16 for w in calls)
+    some = word_features(pa.array(texts, pa.string()).slice(5, 9))
+    assert some[0].tolist() == want[places[4] : places[13]] and word_features(pa.array([], pa.string()))[0].shape == (0, 3)
