@@ -21,8 +21,8 @@ from logweave.plans.materialize import drop, release, store
 #: that is longer by itself is passed over.
 CLASS_ROWS, CLASS_BYTES = 2000, 24 << 20
 #: Of toxicity, which learns from every row: bytes of text that make a shard, label rows that are dealt to one task at first, tasks
-#: that learn at a time, label rows up to which they go to the texts and not the texts to them (the result is the same), passes over all rows, and the unit in which changes are added up, so that no order of adding matters.
-SHARD_BYTES, DEAL_ROWS, LEARNERS, SENT_ROWS, PASSES, UNIT = 8 << 20, 8192, 32, 1 << 22, 8, 2.0**-24
+#: that learn at a time, label rows up to which they go to the texts and not the texts to them (the result is the same), passes over all rows, the unit in which changes are added up, so that no order of adding matters, and ranges of embeddings whose changes are added up apart.
+SHARD_BYTES, DEAL_ROWS, LEARNERS, SENT_ROWS, PASSES, UNIT, RANGES = 8 << 20, 8192, 32, 1 << 22, 8, 2.0**-24, 8
 
 
 def fold(folds: int) -> Column:
@@ -165,9 +165,12 @@ class Changes:
                 self.total[k] = self.total.get(k, 0) + change
         self.total["n"] += n
 
-    def packed(self) -> bytes:
-        some = np.flatnonzero(self.total["seen"])
-        return zstandard.ZstdCompressor(level=3).compress(pickle.dumps((some, self.total | {"e": self.total["e"][some], "seen": self.total["seen"][some]})))
+    def packed(self, part: int) -> bytes:
+        """One of ``RANGES`` ranges of the embeddings, the first one with all else."""
+        size = -(-len(self.total["seen"]) // RANGES)
+        some = np.flatnonzero(self.total["seen"][part * size : (part + 1) * size]) + part * size
+        rest = self.total if not part else {}
+        return zstandard.ZstdCompressor(level=3).compress(pickle.dumps((some, rest | {"e": self.total["e"][some], "seen": self.total["seen"][some]})))
 
     def merge(self, packed: bytes) -> None:
         some, total = pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
@@ -185,11 +188,23 @@ class Changes:
         return WordNet(out)
 
 
+_CHANGES = pa.schema([("net", pa.int32()), ("part", pa.int32()), ("changes", pa.binary())])
+
+
+def _added(key: tuple, rows: pa.Table) -> pa.Table:
+    """The changes of all tasks to a range of a net, as one row."""
+    total, (net, part) = Changes(), (x.as_py() for x in key)
+    for packed in rows.column("changes"):
+        total.merge(packed.as_py())
+    return pa.table({"net": [net], "part": [part], "changes": [total.packed(part)]}, _CHANGES)
+
+
 def learned(table: DataFrame) -> list[WordNet | Constant]:
     """The net of all rows of the shards, that of half 0 and that of half 1; a constant for one that lacks a class.
 
     Every pass takes each shard through one pass of its own from the nets as they stand, and the changes of all shards are averaged.
-    A single shard makes its passes in a row.
+    Executors add the changes up, so the driver takes one net's worth of each net however many tasks learned. A single shard makes
+    its passes in a row.
     """
     rows = table.agg(F.count("*"), *[F.sum(F.col("rows")[k]) for k in range(4)]).first()
     count = np.array([n or 0 for n in rows[1:]]).reshape(2, 2)
@@ -207,14 +222,17 @@ def learned(table: DataFrame) -> list[WordNet | Constant]:
                     for k in live:
                         which = np.flatnonzero(half == k - 1) if k else np.arange(len(y))
                         if len(which):
-                            net, used, own = nets[k].narrowed(words if not k else _texts(words, begins, which)[0])
-                            at = begins if not k else _texts(words, begins, which)[1]
+                            own, at = _texts(words, begins, which) if k else (words, begins)
+                            net, used, own = nets[k].narrowed(own)
                             net.learn(own, at, y[which], balance(y[which], of[k][1] / of[k].sum()), times, seed=5 + turn)
                             changes[k].add(nets[k], net, used, len(which))
-            yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([changes[k].packed() for k in live], pa.binary())], ["net", "changes"])
+            for k in live:
+                for part in range(RANGES):
+                    yield pa.RecordBatch.from_pydict({"net": [k], "part": [part], "changes": [changes[k].packed(part)]}, _CHANGES)
 
         total = {k: Changes() for k in live}
-        for r in map_batches(table.select("words", "counts", "y", "half").coalesce(LEARNERS), run, "net int, changes binary").collect():
+        found = map_batches(table.select("words", "counts", "y", "half").coalesce(LEARNERS), run, "net int, part int, changes binary")
+        for r in found.groupBy("net", "part").applyInArrow(_added, found.schema).collect():
             total[r["net"]].merge(r["changes"])
         nets = [total[k].applied(net) if k in total else net for k, net in enumerate(nets)]
         release(table.sparkSession)

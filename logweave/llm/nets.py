@@ -18,34 +18,37 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Adam:
-    def __init__(self, params: dict[str, np.ndarray], rate: float, single: bool = False):
-        """With ``single`` every step is made in the parameters' own precision and in place."""
-        self.params, self.rate, self.t, self.single = params, rate, 0, single
+    def __init__(self, params: dict[str, np.ndarray], rate: float):
+        self.params, self.rate, self.t = params, rate, 0
         self.m = {k: np.zeros_like(v) for k, v in params.items()}
         self.v = {k: np.zeros_like(v) for k, v in params.items()}
 
-    def step(self, grads: dict[str, np.ndarray]) -> None:
+    def step(self, grads: dict[str, np.ndarray], used: np.ndarray | None = None) -> None:
+        """With ``used`` the gradient of ``e`` has these rows alone, in ascending order; every row moves on by its mean."""
         self.t += 1
-        scale = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        scale = float(self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for k, g in grads.items():
-            if self.single:
-                m, v, part = self.m[k], self.v[k], g - self.m[k]
-                part *= 0.1
-                m += part
-                np.multiply(g, g, out=part)
-                part -= v
-                part *= 0.001
-                v += part
-                np.sqrt(v, out=part)
-                part += 1e-7
-                np.divide(m, part, out=part)
-                part *= float(scale)
-                self.params[k] -= part
+            if k == "e" and used is not None:
+                self.rows(k, g, used, scale)
                 continue
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.001 * (g * g - self.v[k])
             self.params[k] -= scale * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)
 
+    def rows(self, k: str, g: np.ndarray, used: np.ndarray, scale: float) -> None:
+        """In place and in the parameters' own precision."""
+        m, v = self.m[k], self.v[k]
+        m *= 0.9
+        m[used] += 0.1 * g
+        v *= 0.999
+        v[used] += 0.001 * (g * g)
+        for a in range(0, len(m), BLOCK):
+            part = np.sqrt(v[a : a + BLOCK])
+            part += 1e-7
+            np.divide(m[a : a + BLOCK], part, out=part)
+            part *= scale
+            self.params[k][a : a + BLOCK] -= part
+
 
 def epochs(n: int, times: int, size: int, seed: int):
     rng = np.random.default_rng(seed)
@@ -64,7 +67,7 @@ def balance(labels: np.ndarray, mean: float) -> np.ndarray:
 
 BUCKETS, WORD_DIM, WORD_FILTERS, WIDTHS, VIEWS = 1 << 14, 12, 16, (1, 2, 3), 3
 PAD = BUCKETS * VIEWS
-PIECE = 1 << 10  # words whose responses are held at a time, few enough for the cache
+PIECE, BLOCK = 1 << 10, 1 << 11  # words whose responses are held at a time, and embeddings that move at a time, few enough for the cache
 
 
 #: What is trimmed off words.
@@ -146,30 +149,28 @@ class WordNet:
 
     def pooled(self, rows: np.ndarray, begins: np.ndarray, where: bool = False):
         """Of each text the greatest response of every filter, and where it begins if asked; a piece of the words at a time."""
-        n = len(begins) - 1
-        top = np.full((n, len(WIDTHS) * WORD_FILTERS), -np.inf, self.p["o"].dtype)
-        at = np.zeros((n, len(WIDTHS) * WORD_FILTERS), np.int64) if where else None
-        own = len(WIDTHS) * WORD_FILTERS
-        part = lambda k, j: self.p[f"w{k}"][j * WORD_DIM : (j + 1) * WORD_DIM]
-        every = np.concatenate([part(k, 0) for k in WIDTHS] + [part(k, j) for k in WIDTHS for j in range(1, k)], axis=1)
-        shift, column = np.concatenate([self.p[f"b{k}"] for k in WIDTHS]), np.arange(own)
+        n, own, widest = len(begins) - 1, len(WIDTHS) * WORD_FILTERS, max(WIDTHS)
+        top = np.full((n, own), -np.inf, self.p["o"].dtype)
+        at = np.zeros((n, own), np.int64) if where else None
+        every = np.zeros((own, widest * WORD_DIM), self.p["e"].dtype)  # narrower filters are zero where they end
+        for i, k in enumerate(WIDTHS):
+            every[i * WORD_FILTERS : (i + 1) * WORD_FILTERS, : k * WORD_DIM] = self.p[f"w{k}"].T
+        shift, row = np.concatenate([self.p[f"b{k}"] for k in WIDTHS]), np.arange(own)
         for a in range(0, len(rows), PIECE):
             size = min(PIECE, len(rows) - a)
-            z = self.embedded(rows[a : a + size + max(WIDTHS) - 1]) @ every  # of each word what it adds to each filter from each place
+            x = np.zeros((size + widest - 1, WORD_DIM), self.p["e"].dtype)
+            found = rows[a : a + len(x)]
+            x[: len(found)] = self.embedded(found)
+            windows = np.ndarray((size, every.shape[1]), x.dtype, x, strides=x.strides).copy()
+            y = every @ windows.T  # of each filter its responses, one after the other
             texts = slice(int(np.searchsorted(begins, a, "right")) - 1, int(np.searchsorted(begins, a + size, "left")))
             cut = np.maximum(begins[texts] - a, 0)
-            y, of = z[:size, :own], own
-            for i, k in enumerate(WIDTHS):
-                for j in range(1, k):
-                    more = z[j : j + size, of : of + WORD_FILTERS]
-                    y[: len(more), i * WORD_FILTERS : (i + 1) * WORD_FILTERS] += more
-                    of += WORD_FILTERS
             if where:
-                first = np.stack([b + y[b:e].argmax(axis=0) for b, e in zip(cut.tolist(), [*cut[1:].tolist(), size], strict=True)])
-                m = y[first, column] + shift
+                first = np.stack([b + y[:, b:e].argmax(axis=1) for b, e in zip(cut.tolist(), [*cut[1:].tolist(), size], strict=True)])
+                m = y[row, first] + shift
                 at[texts] = np.where(m > top[texts], a + first, at[texts])
             else:
-                m = np.maximum.reduceat(y, cut, axis=0) + shift  # windows of padding alone give a constant
+                m = np.maximum.reduceat(y, cut, axis=1).T + shift  # windows of padding alone give a constant
             top[texts] = np.maximum(top[texts], m)
         return (top, at) if where else top
 
@@ -184,36 +185,45 @@ class WordNet:
         return self.learn(*word_features(column), labels, balance(labels, labels.mean()), times)
 
     def learn(self, rows: np.ndarray, begins: np.ndarray, labels: np.ndarray, weight: np.ndarray, times: int, size: int = 64, rate: float = 0.01, seed: int = 5) -> WordNet:
-        adam = Adam(self.p, rate, single=True)
+        adam = Adam(self.p, rate)
         for batch in epochs(len(labels), times, size, seed):
             own = np.concatenate([rows[begins[i] : begins[i + 1]] for i in batch])
             b = np.concatenate(([0], np.cumsum(begins[batch + 1] - begins[batch])))
-            adam.step(self.gradients(own, b, labels[batch], weight[batch]))
+            adam.step(*self.slopes(own, b, labels[batch], weight[batch]))
         return self
 
     def gradients(self, rows: np.ndarray, begins: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         """Of the weighted mean log loss of some texts."""
+        grads, used = self.slopes(rows, begins, labels, weight)
+        every = np.zeros_like(self.p["e"])
+        every[used] = grads["e"]
+        return grads | {"e": every}
+
+    def slopes(self, rows: np.ndarray, begins: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """As ``gradients``, but of ``e`` only the rows that a filter met, and their numbers in ascending order."""
         top, at = self.pooled(rows, begins, where=True)
         hidden = np.maximum(top, 0)
         d = (sigmoid(hidden @ self.p["o"] + self.p["c"]) - labels) * weight / len(labels)
-        grads = {"o": (hidden.T @ d).astype(np.float32), "c": np.array([d.sum()], np.float32), "e": np.zeros_like(self.p["e"])}
-        dh, hit, pull = (d[:, None] * self.p["o"]) * (top > 0), [], []
+        grads = {"o": (hidden.T @ d).astype(np.float32), "c": np.array([d.sum()], np.float32)}
+        dh, hit, pull = ((d[:, None] * self.p["o"]) * (top > 0)).astype(np.float32), [], []
         for n, k in enumerate(WIDTHS):
-            g = dh[:, n * WORD_FILTERS : (n + 1) * WORD_FILTERS].astype(np.float32)
-            gw, w = np.zeros_like(self.p[f"w{k}"]), self.p[f"w{k}"]
-            for j in range(k):
-                place = np.minimum(at[:, n * WORD_FILTERS : (n + 1) * WORD_FILTERS] + j, len(rows) - 1)
-                part = slice(j * WORD_DIM, (j + 1) * WORD_DIM)
-                gw[part] = np.einsum("bf,bfd->df", g, self.embedded(rows[place]))
-                back = (g[:, :, None] * w[part].T[None]).reshape(-1, WORD_DIM)
-                hit.append(rows[place.ravel()].ravel())
-                pull.append(np.repeat(back, VIEWS, axis=0))
-            grads[f"w{k}"], grads[f"b{k}"] = gw, g.sum(axis=0)
-        hit, pull = np.concatenate(hit), np.concatenate(pull)
+            part = slice(n * WORD_FILTERS, (n + 1) * WORD_FILTERS)
+            g, w = dh[:, part], self.p[f"w{k}"].reshape(k, WORD_DIM, WORD_FILTERS)
+            met = rows[np.minimum(at[:, part] + np.arange(k)[:, None, None], len(rows) - 1)]
+            grads[f"w{k}"] = np.einsum("bf,kbfd->kdf", g, self.embedded(met)).reshape(self.p[f"w{k}"].shape).astype(np.float32)
+            grads[f"b{k}"] = g.sum(axis=0)
+            hit.append(met.reshape(-1, VIEWS))
+            pull.append((g[:, None] * w[:, None]).transpose(2, 0, 1, 3).reshape(WORD_DIM, -1))
+        hit, pull = np.concatenate(hit), np.concatenate(pull, axis=1)
+        some = np.zeros(len(self.p["e"]), bool)
+        some[hit] = True
+        some[self.pad] = False
+        used, place = np.flatnonzero(some), np.cumsum(some) - 1
+        place[self.pad] = len(used)
+        of, grads["e"] = place[hit.T].ravel(), np.empty((len(used), WORD_DIM), np.float32)
         for i in range(WORD_DIM):
-            grads["e"][:, i] = np.bincount(hit, pull[:, i], len(grads["e"]))
-        grads["e"][self.pad] = 0
-        return grads
+            grads["e"][:, i] = np.bincount(of, np.tile(pull[i], VIEWS), len(used) + 1)[:-1]
+        return grads, used
 
     def narrowed(self, rows: np.ndarray) -> tuple[WordNet, np.ndarray, np.ndarray]:
         """A copy with the embeddings that ``rows`` use alone, the numbers of those, and ``rows`` by their places in it."""

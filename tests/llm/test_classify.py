@@ -6,8 +6,8 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from logweave.llm import nets
-from logweave.llm.classify import accepted, best_limits, labelled, labelled_sample, learned, quality, score, shards, thresholds, toxicity
+from logweave.llm import classify, nets
+from logweave.llm.classify import Changes, accepted, best_limits, labelled, labelled_sample, learned, quality, score, shards, thresholds, toxicity
 from logweave.llm.nets import CHUNK, ByteNet, WordNet, byte_chunks, word_features
 
 
@@ -220,3 +220,45 @@ def test_word_numbers_are_hashed_all_at_once(monkeypatch):
     assert calls and all(len(w) >= 16 for w in calls)
     some = word_features(pa.array(texts, pa.string()).slice(5, 9))
     assert some[0].tolist() == want[places[4] : places[13]] and word_features(pa.array([], pa.string()))[0].shape == (0, 3)
+
+
+def test_the_driver_takes_one_sum_of_changes_however_many_tasks_learn(spark, monkeypatch):
+    """Tasks' changes are added up by executors; by how many tasks does not matter."""
+    monkeypatch.setattr("logweave.llm.classify.SHARD_BYTES", 2000)
+    monkeypatch.setattr("logweave.llm.classify.DEAL_ROWS", 10)
+    monkeypatch.setattr("logweave.llm.classify.PASSES", 2)
+    docs, labels, _ = tables(spark)
+    table = shards(docs, labelled(labels, "toxic", 5, 0))
+    assert table.rdd.getNumPartitions() > 3 and table.count() > 20
+    taken, merge = [], Changes.merge
+    monkeypatch.setattr(Changes, "merge", lambda self, packed: taken.append(len(packed)) or merge(self, packed))
+    nets = learned(table)
+    few = len(taken)
+    more = learned(table.repartition(16))  # in other tasks
+    assert few == len(taken) - few == 2 * 3 * classify.RANGES
+    monkeypatch.setattr("logweave.llm.classify.LEARNERS", 1)
+    one = learned(table)
+    for a, b, c in zip(nets, more, one, strict=True):
+        assert all((a.p[k] == b.p[k]).all() and (a.p[k] == c.p[k]).all() for k in a.p)
+
+
+def test_learning_by_the_formula_touches_the_embeddings_that_filters_met():
+    """Equal to steps over whole gradients; those hold numbers for the words that reached a maximum alone."""
+    rng = np.random.default_rng(3)
+    texts = pa.array([" ".join(rng.choice([f"w{i}" for i in range(3000)], rng.integers(1, 400))) for _ in range(40)], pa.string())
+    labels = np.arange(40) % 2
+    rows, begins = word_features(texts)
+    net, p = WordNet(seed=6), {k: v.astype(np.float64) for k, v in WordNet(seed=6).p.items()}
+    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    net.learn(rows, begins, labels, np.ones(40, np.float32), 2, size=8)
+    for t, batch in enumerate(nets.epochs(40, 2, 8, 5), 1):
+        own = word_features(texts.take(pa.array(batch)))
+        now = WordNet({k: x.astype(np.float32) for k, x in p.items()})
+        grads, (some, used) = now.gradients(*own, labels[batch], np.ones(8)), now.slopes(*own, labels[batch], np.ones(8))
+        assert (np.diff(used) > 0).all() and nets.PAD not in used and len(some["e"]) == len(used) <= 8 * 16 * 6 * 3 < len(p["e"])
+        assert (grads["e"][used] == some["e"]).all() and not np.delete(grads["e"], used, axis=0).any()
+        for k, g in grads.items():
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g.astype(np.float64) ** 2
+            p[k] -= 0.01 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * m[k] / (np.sqrt(v[k]) + 1e-7)
+    diff = {k: np.abs(net.p[k] - p[k]) for k in p}
+    assert all(np.quantile(x, 0.99) < 1e-3 for x in diff.values()), {k: x.max() for k, x in diff.items()}
