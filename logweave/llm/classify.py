@@ -23,6 +23,8 @@ CLASS_ROWS, CLASS_BYTES = 2000, 24 << 20
 #: Of toxicity, which learns from every row: bytes of text that make a shard, label rows that are dealt to one task at first, tasks
 #: that learn at a time, label rows up to which they go to the texts and not the texts to them (the result is the same), passes over all rows, the unit in which changes are added up, so that no order of adding matters, and ranges of embeddings whose changes are added up apart.
 SHARD_BYTES, DEAL_ROWS, LEARNERS, SENT_ROWS, PASSES, UNIT, RANGES = 8 << 20, 8192, 32, 1 << 22, 8, 2.0**-24, 8
+#: Bits by hash of the labelled ids, which go to the texts where the label rows are too many to: most texts without a label stay where they are.
+MARKS = 1 << 27
 
 
 def fold(folds: int) -> Column:
@@ -103,7 +105,13 @@ def shards(docs: DataFrame, rows: DataFrame) -> DataFrame:
     parts = max(1, math.ceil(n / DEAL_ROWS))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     order, half = F.xxhash64(F.col("doc_id"), F.lit(17)), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(2)).cast("int")
-    have = docs.where(F.col("text").isNotNull()).select("doc_id", "text", lang.alias("lang")).join(F.broadcast(rows) if n <= SENT_ROWS else rows, "doc_id")
+    have = docs.where(F.col("text").isNotNull()).select("doc_id", "text", lang.alias("lang"))
+    if n > SENT_ROWS:
+        bit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(MARKS))
+        word, mask = F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, int(bit % 64))").alias("mask")
+        marks = rows.select("doc_id", bit.alias("bit")).select(word, mask).groupBy("word").agg(F.bit_or("mask").alias("marks"))
+        have = have.select("*", bit.alias("bit")).select("*", word, mask).join(F.broadcast(marks), "word").where("marks & mask != 0").select("doc_id", "text", "lang")
+    have = have.join(F.broadcast(rows) if n <= SENT_ROWS else rows, "doc_id")
     have = have.select("doc_id", "text", "lang", "y", half.alias("half"), order.alias("place")).repartition(parts, "doc_id").sortWithinPartitions("place", "doc_id")
 
     def shard(found: list) -> pa.RecordBatch:

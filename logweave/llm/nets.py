@@ -26,10 +26,10 @@ class Adam:
     def step(self, grads: dict[str, np.ndarray], used: np.ndarray | None = None) -> None:
         """With ``used`` the gradient of ``e`` has these rows alone, in ascending order; every row moves on by its mean."""
         self.t += 1
-        scale = float(self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
+        scale = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, g in grads.items():
             if k == "e" and used is not None:
-                self.rows(k, g, used, scale)
+                self.rows(k, g, used, float(scale))
                 continue
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.001 * (g * g - self.v[k])

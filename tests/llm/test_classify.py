@@ -262,3 +262,20 @@ def test_learning_by_the_formula_touches_the_embeddings_that_filters_met():
             p[k] -= 0.01 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * m[k] / (np.sqrt(v[k]) + 1e-7)
     diff = {k: np.abs(net.p[k] - p[k]) for k in p}
     assert all(np.quantile(x, 0.99) < 1e-3 for x in diff.values()), {k: x.max() for k, x in diff.items()}
+
+
+def test_shards_of_many_labels(spark, monkeypatch):
+    """Label rows that are too many to go to the texts give the same shards, and texts without a label mostly stay where they are."""
+    docs, labels, _ = tables(spark)
+    docs, labels = docs.selectExpr("doc_id - 100 AS doc_id", "text", "lang"), labels.selectExpr("doc_id - 100 AS doc_id", "quality", "toxic").where("doc_id % 3 = 0")
+    rows = labelled(labels, "toxic", 5, 0)
+    want = shards(docs, rows).collect()
+    met = []
+    monkeypatch.setattr("logweave.llm.classify.SENT_ROWS", 10)
+    join = type(docs).join
+    monkeypatch.setattr(type(docs), "join", lambda self, other, on: met.append((self.count(), other.columns)) or join(self, other, on))
+    for bits in (64, 1 << 27):
+        monkeypatch.setattr("logweave.llm.classify.MARKS", bits)
+        met.clear()
+        assert len(want) == 1 and shards(docs, rows).collect() == want
+        assert met[-1][1] == ["doc_id", "y"] and met[-1][0] < (230 if bits == 64 else 90) < met[0][0]
